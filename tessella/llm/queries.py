@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import bpe_digests
+from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
+from .url_filter import rule_table, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,42 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def bpe_vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), *bpe_vocabulary())
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "xxhash64(text) AS text_hash")
+    return mix_sources(docs, text="text_hash").drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +77,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept, 0)::BIGINT AS n_removed,
                sha256(coalesce(rest.text, '')) AS kept_sha256
         FROM words LEFT JOIN rest USING (doc_id)""",
+    "op3_url_filter": r"""
+        WITH rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+            ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        parts AS (
+            SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages),
+        urls AS (SELECT DISTINCT host, path FROM parts),
+        best AS (
+            SELECT host, path, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule,
+                   arg_max(rv, (length(rh || rp), length(rh))) AS verdict
+            FROM urls JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+            GROUP BY ALL)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN best USING (host, path)""",
 }
