@@ -16,17 +16,25 @@ from pyspark.sql import functions as F
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    """Non-negative integers under 2**32: a byte each, five for those of 255 or more."""
-    large = values >= 255
-    head = np.where(large, 255, values).astype(np.uint8).tobytes()
-    return len(values).to_bytes(4, "little") + head + values[large].astype("<u4").tobytes()
+    """Non-negative integers under 2**32: one, two or four bytes each, whichever is least in all,
+    and four more for those that do not fit."""
+    n = len(values)
+    sizes = [n * width + 4 * int((values >= limit).sum()) for width, limit in ((1, 255), (2, 65535))] + [4 * n]
+    width = (1, 2, 4)[int(np.argmin(sizes))]
+    if width == 4:
+        return n.to_bytes(4, "little") + b"\x04" + values.astype("<u4").tobytes()
+    limit = (1 << 8 * width) - 1
+    large = values >= limit
+    head = np.where(large, limit, values).astype(f"<u{width}").tobytes()
+    return n.to_bytes(4, "little") + bytes([width]) + head + values[large].astype("<u4").tobytes()
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    out = np.frombuffer(raw, np.uint8, n, 4).astype(np.int64)
-    large = np.flatnonzero(out == 255)
-    out[large] = np.frombuffer(raw, "<u4", len(large), 4 + n)
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    out = np.frombuffer(raw, f"<u{width}", n, 5).astype(np.int64)
+    if width < 4:
+        large = np.flatnonzero(out == (1 << 8 * width) - 1)
+        out[large] = np.frombuffer(raw, "<u4", len(large), 5 + width * n)
     return out
 
 
@@ -85,3 +93,23 @@ _KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float"
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat `name type, ...` list, without a Spark session."""
     return pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder, so lost executors lose nothing.
+
+    The folder is the session's spark.checkpoint.dir. Only a local session without that setting
+    gets a temporary folder; on a cluster its lack is an error.
+    """
+    import tempfile
+
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
