@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_digests
 from .language_id import identify_language
+from .lm_scoring import score_texts
 from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 from .url_filter import rule_table, url_filter
@@ -49,11 +51,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_rules(docs).drop("lang", "source")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0)
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    rounded = [F.round(c, 6).alias(c) for c in ("base_score", "score")]
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", *rounded)
+
+
 def bpe_vocabulary() -> tuple[str, str]:
     """Path of the rank file and the splitting pattern."""
     import public_tokenizers
@@ -74,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
