@@ -267,28 +267,51 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", to
     return encoded.withColumn(to, decode(ids))
 
 
+def _digest_batch(own: BytePairCodec, texts: list[str | None]) -> Iterator[tuple[pa.Array, list[pa.Array]]]:
+    """For runs of texts: their ids, and n_tokens, ids_sha256 and decoded_sha256, where the decoded bytes
+    are made from the ids alone."""
+    import hashlib
+
+    for ids, bounds in own.encode_texts(texts):
+        raw, ends = own.decode(ids, bounds)
+        a, b = memoryview(ids.tobytes()), memoryview(raw.tobytes())
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
+        yield (
+            lists,
+            [
+                pa.array(np.diff(bounds).astype(np.int64)),
+                pa.array([hashlib.sha256(a[4 * x : 4 * y]).hexdigest() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()),
+                pa.array([hashlib.sha256(b[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.string()),
+            ],
+        )
+
+
 def bpe_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256: each run of texts is encoded, its ids decoded
     again, and only the digests leave the worker."""
-    import hashlib
-
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in P.column_batches(batches):
             at = 0
-            for ids, bounds in own.encode_texts(batch.column(1).to_pylist()):
-                raw, ends = own.decode(ids, bounds)
-                a, b = memoryview(ids.tobytes()), memoryview(raw.tobytes())
-                n = len(bounds) - 1
-                out = [
-                    batch.column(0).slice(at, n),
-                    pa.array(np.diff(bounds).astype(np.int64)),
-                    pa.array([hashlib.sha256(a[4 * x : 4 * y]).hexdigest() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]),
-                    pa.array([hashlib.sha256(b[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]),
-                ]
-                yield pa.RecordBatch.from_arrays(out, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for _, digests in _digest_batch(own, batch.column(1).to_pylist()):
+                n = len(digests[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *digests], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += n
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def bpe_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with the text replaced by its ids, n_tokens and the digests of ids and decoded bytes."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    @F.arrow_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def encode(column: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays([ids, *digests], fields=list(kind)) for ids, digests in _digest_batch(codec(path, pattern), column.to_pylist())]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    made = [f.name for f in kind]
+    rest = [c for c in docs.columns if c != text and c not in made]
+    return docs.select(*rest, encode(F.col(text)).alias("bpe_tokens")).select(*rest, *[f"bpe_tokens.{c}" for c in made])

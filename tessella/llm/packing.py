@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -95,21 +95,26 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, so lost executors lose nothing.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without that setting
-    gets a temporary folder; on a cluster its lack is an error.
+    Only a local session without that setting gets a temporary folder; on a cluster its lack is an
+    error.
     """
     import tempfile
 
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder, so lost executors lose nothing."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -216,6 +216,18 @@ def score_quality(stats: DataFrame, model: Discriminant, threshold: float = 0.3)
     return stats.withColumn("score", score("stats")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores `threshold` or more, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(train_quality(statistics_table(docs, key, text), labels, learn, key))
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            return pa.array(sent.value.scores(text_statistics(*S.text_buffers(column))))
+
+    return docs.where(score(F.col(text)) >= threshold)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """key, stats, score and predicted for every row of docs. The vectors are written once to the
     checkpoint folder, since training and scoring both read them."""

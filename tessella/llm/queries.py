@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_digests
 from .language_id import identify_language
 from .lm_scoring import score_texts
+from .ngram_join import ngram_join
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .source_mixing import mix_sources
 from .substring_dedup import substring_dedup
 from .url_filter import rule_table, url_filter
+from .vector_search import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).drop("lang", "source")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "set_id", "class_id", "n_copies", "n_links")
+
+
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(5) != 0)
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
@@ -88,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_vector_search": op6_vector_search,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_byte_bpe": op9_byte_bpe,
