@@ -52,7 +52,9 @@ LEAST = -(1 << 63)
 _PROBES = "bucket int, flush long, kind int, a binary, b binary, c binary"
 _HITS = "doc_id long, th long, hits binary"
 _WINDOWS = "bucket int, doc binary, hashes binary, places binary, local binary"
+_LATER = "home int, doc binary, places binary"
 _REPEATS = "doc_id long, th long, repeats binary"
+HOME_BYTES = 64 << 20
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -234,7 +236,7 @@ def _extend(window: int, block: int, buckets: int):
         cuts = P.bucket_cuts(bucket, buckets)
         for b in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[b], cuts[b + 1])
-            put(int(b), documents(numbers[part]), hashes[part].astype("<u8").tobytes(), starts[part].astype("<u4").tobytes(), None)
+            put(int(b), documents(numbers[part]), _seven_bytes(hashes[part]), starts[part].astype("<u4").tobytes(), None)
         return P.frames(schema, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,34 +270,78 @@ def _extend(window: int, block: int, buckets: int):
     return run
 
 
-def _first_starts(table: pa.Table) -> pa.Table:
-    """Step 3: of the windows of one bucket, those that are not the first with their sequence."""
-    ids, ths, hashes, starts, lost = [], [], [], [], []
-    for doc, h, at, local in zip(*(table.column(x).to_pylist() for x in ("doc", "hashes", "places", "local")), strict=True):
+def _seven_bytes(hashes: np.ndarray) -> bytes:
+    """The low 56 bits; the top eight are nearly all told by the bucket."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _from_seven_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
+def _first_starts(homes: int):
+    """Step 3: of the windows of one bucket, those that are not the first with their sequence, in
+    one row for each home, a group of documents."""
+    schema = P.arrow_schema(_LATER)
+
+    def run(table: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        ids, ths, hashes, starts, lost = [], [], [], [], []
+        for doc, h, at, local in zip(*(table.column(x).to_pylist() for x in ("doc", "hashes", "places", "local")), strict=True):
+            i, t, n = np.frombuffer(doc, "<i8").reshape(3, -1)
+            passed = local is not None
+            ids.append(np.repeat(i, n))
+            ths.append(np.repeat(t, n))
+            starts.append(np.frombuffer(local if passed else at, "<u4"))
+            hashes.append(np.zeros(len(starts[-1]), np.uint64) if passed else _from_seven_bytes(h))
+            lost.append(np.full(len(starts[-1]), passed))
+        i, t, h, at, later = map(np.concatenate, (ids, ths, hashes, starts, lost))
+        order = np.lexsort((at, t, i, h, later))
+        i, t, h, at, later = i[order], t[order], h[order], at[order], later[order]
+        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (later[1:] != later[:-1])))
+        runs = np.flatnonzero(fresh)
+        head = np.repeat(runs, np.diff(runs, append=len(h)))
+        later |= (i != i[head]) | (t != t[head]) | (at != at[head])
+        i, t, at = i[later], t[later], at[later].astype(np.int64)
+        home = (S.mix(i.view(np.uint64) ^ t.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+        order = np.lexsort((at, t, i, home))
+        i, t, at, home = i[order], t[order], at[order], home[order]
+        out: dict[str, list] = {k: [] for k in schema.names}
+        for part in np.split(np.arange(len(i)), P.run_starts(home)[1:]) if len(i) else []:
+            docs = np.flatnonzero(np.concatenate(([True], (i[part][1:] != i[part][:-1]) | (t[part][1:] != t[part][:-1]))))
+            out["home"].append(int(home[part[0]]))
+            out["doc"].append(np.stack([i[part][docs], t[part][docs], np.diff(docs, append=len(part))]).astype("<i8").tobytes())
+            out["places"].append(P.pack_counts(_gaps(at[part], docs)))
+        return pa.Table.from_batches([P.frames(schema, out)])
+
+    return run
+
+
+def _gaps(places: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Ascending places of each document as gaps; the first of each as it is."""
+    gaps = np.diff(places, prepend=0)
+    gaps[begin] = places[begin]
+    return gaps
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """The repeated windows of each document of one home."""
+    ids, ths, starts = [], [], []
+    for doc, packed in zip(table.column("doc").to_pylist(), table.column("places").to_pylist(), strict=True):
         i, t, n = np.frombuffer(doc, "<i8").reshape(3, -1)
-        passed = local is not None
+        sums = np.cumsum(P.unpack_counts(packed))
+        begin = np.cumsum(n) - n
+        starts.append(sums - np.repeat(np.concatenate(([0], sums[begin[1:] - 1])), n))
         ids.append(np.repeat(i, n))
         ths.append(np.repeat(t, n))
-        starts.append(np.frombuffer(local if passed else at, "<u4"))
-        hashes.append(np.zeros(len(starts[-1]), np.uint64) if passed else np.frombuffer(h, "<u8"))
-        lost.append(np.full(len(starts[-1]), passed))
-    i, t, h, at, later = map(np.concatenate, (ids, ths, hashes, starts, lost))
-    order = np.lexsort((at, t, i, h, later))
-    i, t, h, at, later = i[order], t[order], h[order], at[order], later[order]
-    runs = P.run_starts(h)
-    head = np.repeat(runs, np.diff(runs, append=len(h)))
-    later |= (i != i[head]) | (t != t[head]) | (at != at[head])
-    return _repeats_table(i[later], t[later], at[later])
-
-
-def _repeats_table(ids: np.ndarray, ths: np.ndarray, at: np.ndarray) -> pa.Table:
-    schema = P.arrow_schema(_REPEATS)
-    order = np.lexsort((at, ths, ids))
-    ids, ths, at = ids[order], ths[order], at[order].astype(np.int64)
-    runs = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])))) if len(ids) else []
-    ends = np.append(runs[1:], len(ids)) if len(ids) else []
-    out = {"doc_id": [int(ids[r]) for r in runs], "th": [int(ths[r]) for r in runs], "repeats": [P.pack_ascending(at[r:e]) for r, e in zip(runs, ends, strict=True)]}
-    return pa.Table.from_batches([P.frames(schema, out)])
+    i, t, at = map(np.concatenate, (ids, ths, starts))
+    order = np.lexsort((at, t, i))
+    i, t, at = i[order], t[order], at[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]))))
+    parts = [P.pack_ascending(P.sorted_distinct(x)) for x in np.split(at, cuts[1:])]
+    return pa.Table.from_batches([P.frames(P.arrow_schema(_REPEATS), {"doc_id": i[cuts].tolist(), "th": t[cuts].tolist(), "repeats": parts})])
 
 
 def _finish(window: int, cut_text: bool):
@@ -313,7 +359,7 @@ def _finish(window: int, cut_text: bool):
             gone = np.zeros(len(found.starts) + 1, np.int64)
             marks = repeats.slice(a, z - a)
             for k in np.flatnonzero(~np.asarray(marks.is_null())):
-                p = P.sorted_distinct(np.concatenate([P.unpack_ascending(x) for x in marks[int(k)].as_py()])) + found.ptr[k]
+                p = P.unpack_ascending(marks[int(k)].as_py()) + found.ptr[k]
                 gone[p] += 1
                 gone[p + window] -= 1
             gone = np.cumsum(gone)[:-1] > 0
@@ -373,8 +419,8 @@ def _repeats(base: DataFrame, window: int, size: int) -> DataFrame:
     hits = probes.groupBy("bucket").applyInArrow(_classes, _PROBES).groupBy("flush").applyInArrow(_return_hits, _HITS)
     hits = hits.groupBy("doc_id", "th").agg(F.max("hits").alias("hits"))  # equal rows: either set holds all true hits
     windows = base.join(hits, ["doc_id", "th"], "left").mapInArrow(_extend(window, block, buckets), _WINDOWS)
-    repeats = windows.groupBy("bucket").applyInArrow(_first_starts, _REPEATS)
-    return repeats.groupBy("doc_id", "th").agg(F.collect_list("repeats").alias("repeats"))
+    later = windows.groupBy("bucket").applyInArrow(_first_starts(max(8, size // HOME_BYTES)), _LATER)
+    return later.groupBy("home").applyInArrow(_gather, _REPEATS)
 
 
 def _keyed(docs: DataFrame, text: str, key: str) -> list:
