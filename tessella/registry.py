@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "evaluation")
 _found: dict[str, tuple[Query, str | None]] = {}
 
 
