@@ -142,4 +142,24 @@ ORACLE_SQL: dict[str, str] = {
             GROUP BY ALL)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parts LEFT JOIN best USING (host, path)""",
+    # Jaccard similarity i / (a + b - i) >= 0.8 in whole numbers: 9 i >= 4 (a + b).
+    "op5_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        sets AS (
+            SELECT doc_id, list_sort(list_distinct(CASE
+                       WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
+            FROM words),
+        hashed AS (SELECT doc_id, g, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) ELSE 'empty ' || doc_id END AS h FROM sets),
+        nodes AS (SELECT h, min(doc_id) AS id, count(*) AS n_copies, any_value(g) AS g, len(any_value(g)) AS n FROM hashed GROUP BY h),
+        grams AS (SELECT id, n, unnest(g) AS t FROM nodes),
+        links AS (
+            SELECT a.id AS a, b.id AS b FROM grams a JOIN grams b ON a.t = b.t AND a.id <> b.id
+            GROUP BY a.id, b.id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+        reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        classes AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a),
+        degrees AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT doc_id, id AS set_id, class_id, n_copies, coalesce(n_links, 0) AS n_links
+        FROM hashed JOIN nodes USING (h) JOIN classes USING (id) LEFT JOIN degrees USING (id)""",
 }
