@@ -9,9 +9,12 @@ sets are linked at Jaccard similarity `threshold` or more; linked sets and copie
    token is chosen by both unless all the least ones of the union are unshared, so a run
    misses a pair at the threshold with probability of at most (1 - threshold) ** FAN a level.
    The runs are as many as the target `recall` needs under that bound.
+   Linked sets have similar sizes, so a path goes with a size class: SIZE_STEPS steps of the factor
+   1 / threshold wide; a set within one step of the next class chooses its paths there too.
 3. A bucket of more than SMALL sets is split: its sets choose FAN further tokens each, by hashes
    seeded with the path. Only the last level is compared whatever its size, in pairs of chunks
-   of at most about CHUNK sets, so no task holds an unbounded group and nothing is left out.
+   of about CHUNK sets and CHUNK_TOKENS tokens at most (so are small buckets of large sets), so no
+   task holds an unbounded group and nothing is left out.
 4. A small bucket is compared by brute force: exact intersections by a product of incidence
    matrices over the tokens that two sets or more have. A pair that shares several buckets is
    counted in the one with the least path only; buckets with the same members are one.
@@ -50,12 +53,14 @@ from .components import components
 
 WIDTH = 5
 THRESHOLD = 0.8
-RECALL = 1 - 1e-6
+RECALL = 0.9999
 FAN = 4
 LEVELS = 3
 SMALL = 200
 CHUNK = 200
-PIECE_BYTES = 4 << 20
+CHUNK_TOKENS = 400_000
+SIZE_STEPS = 3
+PIECE_BYTES = 1 << 20
 COLUMNS = 16_384
 LEAST = -(1 << 63)
 TOKEN_BITS = 40
@@ -106,6 +111,14 @@ class Sets:
         return out
 
 
+def size_classes(size: int, threshold: float) -> list[int]:
+    """The classes of a set of this size: any two sets whose sizes can reach the threshold share one."""
+    step = -math.log(threshold) if threshold < 1 else 1.0
+    at = math.log(size) / step
+    own = math.floor(at / SIZE_STEPS)
+    return [own, own + 1] if at + 1 + 1e-9 >= (own + 1) * SIZE_STEPS else [own]
+
+
 def longer_paths(tokens: np.ndarray, path: int) -> np.ndarray:
     """The FAN paths that go on from `path` in the set of these tokens."""
     hashes = np.sort(S.mix(tokens ^ S.mix(np.array([path], np.uint64))))[:FAN]
@@ -121,7 +134,7 @@ def _pieces(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, Sets]
 _SETS = "doc_id long, th long, sid long, check long, size long, paths binary"
 
 
-def _describe(width: int, runs: int):
+def _describe(width: int, runs: int, threshold: float):
     schema = P.arrow_schema(_SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +142,22 @@ def _describe(width: int, runs: int):
         for batch in P.column_batches(batches):
             for a, z, sets in _pieces(batch, width):
                 paths = np.concatenate([sets.chosen(k) for k in range(runs)], axis=1).view(np.int64)
-                packed = [P_longs(np.unique(p)) if n else b"" for p, n in zip(paths, sets.sizes, strict=True)]
+                packed = [_classed(p, int(n), threshold) for p, n in zip(paths, sets.sizes, strict=True)]
                 columns = [batch.column("doc_id").slice(a, z - a), batch.column("th").slice(a, z - a), pa.array(sets.identity(1).view(np.int64)), pa.array(sets.identity(2).view(np.int64)), pa.array(sets.sizes), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def P_longs(values: np.ndarray) -> bytes:
+def _classed(paths: np.ndarray, size: int, threshold: float) -> bytes:
+    """The distinct paths of a set in each of its size classes."""
+    if not size:
+        return b""
+    paths = P.sorted_distinct(paths).view(np.uint64)
+    return _pack_longs(np.concatenate([S.mix(paths + np.uint64((c + 2) * 0x9E3779B97F4A7C15 % (1 << 64))) for c in size_classes(size, threshold)]).view(np.int64))
+
+
+def _pack_longs(values: np.ndarray) -> bytes:
     return values.astype("<i8").tobytes()
 
 
@@ -144,30 +165,31 @@ def longs(raw: bytes | None) -> np.ndarray:
     return np.frombuffer(raw or b"", "<i8")
 
 
-_EXPLODED = "sid long, path long"
+_EXPLODED = "sid long, size int, path long"
 
 
 def _explode_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in P.column_batches(batches):
         paths = [longs(x) for x in batch.column("paths").to_pylist()]
-        sid = np.repeat(batch.column("sid").to_numpy(zero_copy_only=False), [len(x) for x in paths])
+        count = [len(x) for x in paths]
+        sid, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), count) for c in ("sid", "size"))
         if len(sid):
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.concatenate(paths))], schema=P.arrow_schema(_EXPLODED))
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(size, pa.int32()), pa.array(np.concatenate(paths))], schema=P.arrow_schema(_EXPLODED))
 
 
 def _live(paths: DataFrame, last: bool) -> DataFrame:
-    """Paths that two sets or more chose, with their size; of small ones with the same members the least."""
-    sizes = paths.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("members")).where("n > 1")
-    small = sizes.where(F.lit(last) | (F.col("n") <= SMALL)).groupBy("members", "n").agg(F.min("path").alias("path")).select("path", "n")
-    return small if last else small.unionByName(sizes.where(F.col("n") > SMALL).select("path", "n"))
+    """Paths that two sets or more chose, with their sets and tokens; of small ones with the same members the least."""
+    sizes = paths.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("sid")).alias("members")).where("n > 1")
+    small = sizes.where(F.lit(last) | (F.col("n") <= SMALL)).groupBy("members", "n", "total").agg(F.min("path").alias("path")).select("path", "n", "total")
+    return small if last else small.unionByName(sizes.where(F.col("n") > SMALL).select("path", "n", "total"))
 
 
-_ACTIVE = "sid long, path long, parent long, depth int"
+_ACTIVE = "sid long, size int, path long, parent long, depth int"
 
 
 def _go_on(width: int):
     """From each set's text and its large paths: all its longer paths, and the set itself."""
-    schema = P.arrow_schema("sid long, tokens binary, longer binary")
+    schema = P.arrow_schema("sid long, size int, tokens binary, longer binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -188,7 +210,7 @@ def _go_on(width: int):
                             level = [child for child, _ in nxt]
                     rows = np.array([(int(c), int(p), d) for c, p, d in found], dtype=object).reshape(-1, 3)
                     longer.append(np.array([x % (1 << 64) for x in rows.ravel()], dtype=np.uint64).tobytes())
-                yield pa.RecordBatch.from_arrays([sid.slice(a, z - a), pa.array(tokens, pa.binary()), pa.array(longer, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([sid.slice(a, z - a), pa.array(sets.sizes, pa.int32()), pa.array(tokens, pa.binary()), pa.array(longer, pa.binary())], schema=schema)
 
     return run
 
@@ -196,10 +218,11 @@ def _go_on(width: int):
 def _explode_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in P.column_batches(batches):
         rows = [np.frombuffer(x, "<u8").reshape(-1, 3) for x in batch.column("longer").to_pylist()]
-        sid = np.repeat(batch.column("sid").to_numpy(zero_copy_only=False), [len(x) for x in rows])
+        count = [len(x) for x in rows]
+        sid, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), count) for c in ("sid", "size"))
         if len(sid):
             path, parent, depth = np.concatenate(rows).T
-            columns = [pa.array(sid), pa.array(path.astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(parent).view(np.int64)), pa.array(depth.astype(np.int32))]
+            columns = [pa.array(sid), pa.array(size, pa.int32()), pa.array(path.astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(parent).view(np.int64)), pa.array(depth.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, schema=P.arrow_schema(_ACTIVE))
 
 
@@ -213,12 +236,12 @@ def compare(sids: np.ndarray, sets: list[np.ndarray], paths: list[np.ndarray], p
     """
     n = len(sids)
     sizes = np.array([len(x) for x in sets])
-    tokens = np.concatenate(sets)
-    own = np.repeat(np.arange(n), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, own = tokens[order], own[order]
-    begin = P.run_starts(tokens)
-    df = np.diff(begin, append=len(tokens))
+    keys = np.concatenate(sets).astype(np.uint64) << np.uint64(32)
+    keys |= np.repeat(np.arange(n, dtype=np.uint64), sizes)
+    keys.sort()
+    own, keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.int32), (keys >> np.uint64(32)).astype(np.uint32)
+    begin = P.run_starts(keys)
+    df = np.diff(begin, append=len(keys))
     shared = np.flatnonzero(df > 1)
     inter = np.zeros((n, n), np.float32)
     for k in range(0, len(shared), COLUMNS):
@@ -275,9 +298,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in schema.names}
         held = 0
         for sid, tokens, kept in zip(*(batch.column(x).to_pylist() for x in ("sid", "tokens", "kept")), strict=True):
-            paths = P_longs(np.array(sorted(x["path"] for x in kept), np.int64))
+            paths = _pack_longs(np.array(sorted(x["path"] for x in kept), np.int64))
             for x in kept:
-                chunks = -(-x["n"] // CHUNK)
+                chunks = max(-(-x["n"] // CHUNK) if x["n"] > SMALL else 1, -(-x["total"] // CHUNK_TOKENS) if x["total"] > 2 * CHUNK_TOKENS else 1)
                 side = int(S.mix(np.array([sid % (1 << 64)], np.uint64))[0] % np.uint64(chunks)) if chunks > 1 else 0
                 for other in range(chunks):
                     for name, value in zip(schema.names, (x["path"], min(side, other), max(side, other), side, sid, paths, tokens), strict=True):
@@ -294,27 +317,28 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     """doc_id, th (hash of the text), set_id, class_id, n_copies and n_links of every row."""
     exact = Fraction(threshold).limit_denominator(10_000)
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    described = P.durable(base.mapInArrow(_describe(width, runs_for(recall, threshold)), _SETS))
+    described = P.durable(base.mapInArrow(_describe(width, runs_for(recall, threshold), threshold), _SETS))
     first = F.min(F.struct("doc_id", "th")).alias("first")
-    nodes = P.durable(described.where("size > 0").groupBy("sid", "check").agg(first, F.count("*").alias("n_copies"), F.first("paths").alias("paths")))
+    nodes = P.durable(described.where("size > 0").groupBy("sid", "check").agg(first, F.count("*").alias("n_copies"), F.first("paths").alias("paths"), F.first("size").cast("int").alias("size")))
     # paths of length one, and the sets that share one
-    paths = nodes.select("sid", "paths").mapInArrow(_explode_paths, _EXPLODED)
+    paths = nodes.select("sid", "size", "paths").mapInArrow(_explode_paths, _EXPLODED)
     live = P.durable(paths.join(_live(paths, False), "path"))
     mine = live.groupBy("sid").agg(F.collect_list(F.when(F.col("n") > SMALL, F.col("path"))).alias("large"))
     wanted = nodes.select("sid", "first.doc_id", "first.th").join(mine, "sid")
-    texts = base.join(wanted, ["doc_id", "th"]).select("sid", "large", "text")
-    active = P.durable(texts.mapInArrow(_go_on(width), "sid long, tokens binary, longer binary").dropDuplicates(["sid"]))
+    # equal rows of one doc_id and text are one; the join has brought them together
+    texts = base.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("sid").alias("sid"), F.first("large").alias("large"), F.first("text").alias("text"))
+    active = P.durable(texts.select("sid", "large", "text").mapInArrow(_go_on(width), "sid long, size int, tokens binary, longer binary"))
     # longer paths of the buckets that were too large, level by level
-    longer = active.where(F.octet_length("longer") > 0).select("sid", "longer").mapInArrow(_explode_longer, _ACTIVE)
-    kept = live.where(F.col("n") <= SMALL).select("sid", "path", "n")
+    longer = active.where(F.octet_length("longer") > 0).select("sid", "size", "longer").mapInArrow(_explode_longer, _ACTIVE)
+    kept = live.where(F.col("n") <= SMALL).select("sid", "path", "n", "total")
     parents = live.where(F.col("n") > SMALL).select("path").distinct()
     for depth in range(2, LEVELS + 1):
-        level = longer.where(F.col("depth") == depth).join(parents.withColumnRenamed("path", "parent"), "parent", "left_semi").select("sid", "path").distinct()
+        level = longer.where(F.col("depth") == depth).join(parents.withColumnRenamed("path", "parent"), "parent", "left_semi").select("sid", "size", "path").distinct()
         last = depth == LEVELS
-        found = P.durable(level.join(_live(level, last), "path").select("sid", "path", "n"))
+        found = P.durable(level.join(_live(level, last), "path").select("sid", "path", "n", "total"))
         kept = kept.unionByName(found if last else found.where(F.col("n") <= SMALL))
         parents = found.where(F.col("n") > SMALL).select("path").distinct()
-    lists = kept.groupBy("sid").agg(F.collect_set(F.struct("path", "n")).alias("kept"))
+    lists = kept.groupBy("sid").agg(F.collect_set(F.struct("path", "n", "total")).alias("kept"))
     units = active.select("sid", "tokens").join(lists, "sid").mapInArrow(_units, _UNITS)
     found = P.durable(units.groupBy("path", "i", "j").applyInArrow(_compare_bucket(exact), _FOUND))
     links = found.groupBy("sid").agg(F.sum("links").alias("n_links"))

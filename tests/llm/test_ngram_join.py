@@ -101,3 +101,15 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_sets_that_can_be_linked_share_a_size_class():
+    for threshold in (0.5, 0.8, 0.95):
+        for small in range(1, 400):
+            large = int(small / threshold + 1e-9)
+            assert set(J.size_classes(small, threshold)) & set(J.size_classes(large, threshold))
+
+
+def test_chunks_of_large_sets(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHUNK_TOKENS", 60)
+    check(spark, corpus(3, groups=5, size=9))
