@@ -44,8 +44,8 @@ from . import packing as P
 from . import textscan as S
 
 WINDOW = 20
-FLUSH_WORDS = 2_000_000
-PIECE_BYTES = 4 << 20
+FLUSH_WORDS = 1_500_000
+PIECE_BYTES = 1 << 20
 BUCKET_WORDS = 1_000_000
 LEAST = -(1 << 63)
 
