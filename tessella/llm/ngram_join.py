@@ -12,7 +12,9 @@ sets are linked at Jaccard similarity `threshold` or more; linked sets and copie
    Linked sets have similar sizes, so a path goes with a size class: SIZE_STEPS steps of the factor
    1 / threshold wide; a set within one step of the next class chooses its paths there too.
 3. A bucket of more than SMALL sets is split: its sets choose FAN further tokens each, by hashes
-   seeded with the path. Only the last level is compared whatever its size, in pairs of chunks
+   seeded with the path. A bucket is dense if one token would take more than half of its sets
+   along: splitting near copies only multiplies their work. Dense buckets and those of the last
+   level are compared whatever their size, in pairs of chunks
    of about CHUNK sets and CHUNK_TOKENS tokens at most (so are small buckets of large sets), so no
    task holds an unbounded group and nothing is left out.
 4. A small bucket is compared by brute force: exact intersections by a product of incidence
@@ -177,53 +179,49 @@ def _explode_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(size, pa.int32()), pa.array(np.concatenate(paths))], schema=P.arrow_schema(_EXPLODED))
 
 
-def _live(paths: DataFrame, last: bool) -> DataFrame:
-    """Paths that two sets or more chose, with their sets and tokens; of small ones with the same members the least."""
-    sizes = paths.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("sid")).alias("members")).where("n > 1")
-    small = sizes.where(F.lit(last) | (F.col("n") <= SMALL)).groupBy("members", "n", "total").agg(F.min("path").alias("path")).select("path", "n", "total")
-    return small if last else small.unionByName(sizes.where(F.col("n") > SMALL).select("path", "n", "total"))
+def _buckets(paths: DataFrame, *more: str) -> DataFrame:
+    """Paths that two sets or more chose: sets (n), tokens (total) and a hash of the members."""
+    members = F.bit_xor(F.xxhash64("sid")).alias("members")
+    return paths.groupBy("path", *more).agg(F.count("*").alias("n"), F.sum("size").alias("total"), members).where("n > 1")
 
 
-_ACTIVE = "sid long, size int, path long, parent long, depth int"
+def _once(buckets: DataFrame) -> DataFrame:
+    """Of the buckets with the same members the one with the least path."""
+    return buckets.groupBy("members", "n", "total").agg(F.min("path").alias("path")).select("path", "n", "total")
 
 
-def _go_on(width: int):
-    """From each set's text and its large paths: all its longer paths, and the set itself."""
-    schema = P.arrow_schema("sid long, size int, tokens binary, longer binary")
+def _tokens(width: int):
+    """The tokens of each set, from its text."""
+    schema = P.arrow_schema("sid long, size int, tokens binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in P.column_batches(batches):
-            large = batch.column("large").to_pylist()
-            sid = batch.column("sid")
             for a, z, sets in _pieces(batch, width):
-                tokens, longer = [], []
-                for k in range(z - a):
-                    own = sets.tokens[sets.ptr[k] : sets.ptr[k + 1]]
-                    tokens.append((own & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-                    found = []
-                    for top in large[a + k]:
-                        level = [np.uint64(top % (1 << 64))]
-                        for depth in range(2, LEVELS + 1):
-                            nxt = [(child, parent) for parent in level for child in longer_paths(own, int(parent))]
-                            found += [(child, parent, depth) for child, parent in nxt]
-                            level = [child for child, _ in nxt]
-                    rows = np.array([(int(c), int(p), d) for c, p, d in found], dtype=object).reshape(-1, 3)
-                    longer.append(np.array([x % (1 << 64) for x in rows.ravel()], dtype=np.uint64).tobytes())
-                yield pa.RecordBatch.from_arrays([sid.slice(a, z - a), pa.array(sets.sizes, pa.int32()), pa.array(tokens, pa.binary()), pa.array(longer, pa.binary())], schema=schema)
+                low = (sets.tokens & np.uint64(0xFFFFFFFF)).astype("<u4")
+                tokens = [low[i:j].tobytes() for i, j in zip(sets.ptr[:-1], sets.ptr[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(a, z - a), pa.array(sets.sizes, pa.int32()), pa.array(tokens, pa.binary())], schema=schema)
 
     return run
 
 
-def _explode_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LONGER = "sid long, size int, path long, parent long"
+
+
+def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paths one step longer than each set's large ones."""
+    np.seterr(over="ignore")
     for batch in P.column_batches(batches):
-        rows = [np.frombuffer(x, "<u8").reshape(-1, 3) for x in batch.column("longer").to_pylist()]
-        count = [len(x) for x in rows]
-        sid, size = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), count) for c in ("sid", "size"))
-        if len(sid):
-            path, parent, depth = np.concatenate(rows).T
-            columns = [pa.array(sid), pa.array(size, pa.int32()), pa.array(path.astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(parent).view(np.int64)), pa.array(depth.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, schema=P.arrow_schema(_ACTIVE))
+        out: dict[str, list] = {k: [] for k in ("sid", "size", "path", "parent")}
+        for sid, size, tokens, large in zip(*(batch.column(c).to_pylist() for c in ("sid", "size", "tokens", "large")), strict=True):
+            own = np.frombuffer(tokens, "<u4").astype(np.uint64)
+            for parent in large:
+                longer = longer_paths(own, parent % (1 << 64)).view(np.int64).tolist()
+                out["sid"] += [sid] * len(longer)
+                out["size"] += [size] * len(longer)
+                out["path"] += longer
+                out["parent"] += [parent] * len(longer)
+        yield P.frames(P.arrow_schema(_LONGER), out)
 
 
 _FOUND = "sid long, links long, root long"
@@ -322,22 +320,32 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     nodes = P.durable(described.where("size > 0").groupBy("sid", "check").agg(first, F.count("*").alias("n_copies"), F.first("paths").alias("paths"), F.first("size").cast("int").alias("size")))
     # paths of length one, and the sets that share one
     paths = nodes.select("sid", "size", "paths").mapInArrow(_explode_paths, _EXPLODED)
-    live = P.durable(paths.join(_live(paths, False), "path"))
-    mine = live.groupBy("sid").agg(F.collect_list(F.when(F.col("n") > SMALL, F.col("path"))).alias("large"))
-    wanted = nodes.select("sid", "first.doc_id", "first.th").join(mine, "sid")
+    buckets = _buckets(paths)
+    small, large = _once(buckets.where(F.col("n") <= SMALL)), buckets.where(F.col("n") > SMALL)
+    columns = ["sid", "path", "n", "total", "members"]
+    live = P.durable(paths.join(small.withColumn("members", F.lit(0).cast("long")).unionByName(large), "path").select(*columns))
+    wanted = nodes.select("sid", "first.doc_id", "first.th").join(live.select("sid").distinct(), "sid")
     # equal rows of one doc_id and text are one; the join has brought them together
-    texts = base.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("sid").alias("sid"), F.first("large").alias("large"), F.first("text").alias("text"))
-    active = P.durable(texts.select("sid", "large", "text").mapInArrow(_go_on(width), "sid long, size int, tokens binary, longer binary"))
-    # longer paths of the buckets that were too large, level by level
-    longer = active.where(F.octet_length("longer") > 0).select("sid", "size", "longer").mapInArrow(_explode_longer, _ACTIVE)
+    texts = base.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("sid").alias("sid"), F.first("text").alias("text"))
+    active = P.durable(texts.select("sid", "text").mapInArrow(_tokens(width), "sid long, size int, tokens binary"))
     kept = live.where(F.col("n") <= SMALL).select("sid", "path", "n", "total")
-    parents = live.where(F.col("n") > SMALL).select("path").distinct()
+    open_ = live.where(F.col("n") > SMALL)
     for depth in range(2, LEVELS + 1):
-        level = longer.where(F.col("depth") == depth).join(parents.withColumnRenamed("path", "parent"), "parent", "left_semi").select("sid", "size", "path").distinct()
+        asked = open_.groupBy("sid").agg(F.collect_list("path").alias("large"))
+        level = P.durable(active.join(asked, "sid").mapInArrow(_go_on, _LONGER))
+        buckets = _buckets(level, "parent")
+        most = buckets.groupBy("parent").agg(F.max("n").alias("most"))
+        parents = open_.select("path", "n", "total", "members").distinct().join(most, F.col("path") == F.col("parent"), "left").drop("parent")
+        is_dense = 2 * F.coalesce("most", F.lit(0)) > F.col("n")
+        dense = _once(parents.where(is_dense)).select("path")
+        kept = kept.unionByName(open_.join(dense, "path", "left_semi").select("sid", "path", "n", "total"))
+        split = buckets.join(parents.where(~is_dense).select(F.col("path").alias("parent")), "parent", "left_semi").drop("parent")
         last = depth == LEVELS
-        found = P.durable(level.join(_live(level, last), "path").select("sid", "path", "n", "total"))
-        kept = kept.unionByName(found if last else found.where(F.col("n") <= SMALL))
-        parents = found.where(F.col("n") > SMALL).select("path").distinct()
+        done = _once(split if last else split.where(F.col("n") <= SMALL)).withColumn("members", F.lit(0).cast("long"))
+        rest = split.where(F.lit(not last) & (F.col("n") > SMALL))
+        found = P.durable(level.select("sid", "path").join(done.unionByName(rest), "path").select(*columns))
+        kept = kept.unionByName(found.where(F.lit(last) | (F.col("n") <= SMALL)).select("sid", "path", "n", "total"))
+        open_ = found.where(F.lit(not last) & (F.col("n") > SMALL))
     lists = kept.groupBy("sid").agg(F.collect_set(F.struct("path", "n", "total")).alias("kept"))
     units = active.select("sid", "tokens").join(lists, "sid").mapInArrow(_units, _UNITS)
     found = P.durable(units.groupBy("path", "i", "j").applyInArrow(_compare_bucket(exact), _FOUND))
