@@ -8,7 +8,8 @@ Five stages, each one of the operators, over all that the stage before it kept:
    (n_chars follows); rows stay, also those that lose all their words.
 4. source_mixing: the rows are laid out in the order of the mix (sources weighted by the root of
    their rows), range-partitioned and sorted by slot.
-5. byte_bpe: each text becomes its token ids, with digests of the ids and of the decoded bytes.
+5. byte_bpe: each text becomes its token ids, with digests of the ids and of the decoded bytes; the
+   column slot is the row's place in the mix, restored from the part files of stage 4.
 
 The stages but the last return the columns of documents. Each stage's rows are written as
 Parquet under the session's shared checkpoint folder and read again by the next.
@@ -30,7 +31,7 @@ from tessella.llm.ngram_join import drop_near_copies
 from tessella.llm.packing import checkpoint_folder
 from tessella.llm.quality_classifier import keep_quality
 from tessella.llm.queries import bpe_vocabulary, remainder
-from tessella.llm.source_mixing import in_mix_order, mix_sources
+from tessella.llm.source_mixing import in_mix_order, mix_sources, places_in_mix
 from tessella.llm.substring_dedup import cut_repeats
 
 
@@ -53,7 +54,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_tokens(docs, *bpe_vocabulary())
+    return bpe_tokens(places_in_mix(docs), *bpe_vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

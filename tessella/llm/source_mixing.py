@@ -162,3 +162,19 @@ def _few_sources(docs: DataFrame, source: str) -> bool:
 def in_mix_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows laid out in the order of the mix, range-partitioned by slot."""
     return mixed.repartitionByRange("slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select(*columns)
+
+
+def places_in_mix(laid: DataFrame, to: str = "slot") -> DataFrame:
+    """laid, read from the files that the rows of in_mix_order were written to, with each row's place in
+    the mix (from 0). Readers pack files by size, so the place is taken from the number of the part
+    file and the position in it, not from the order of reading."""
+    name, number = F.col("_metadata.file_name"), lambda mark: F.regexp_extract("mix_file", mark, 1).cast("bigint")
+    files = laid.select(name.alias("mix_file")).groupBy("mix_file").count().withColumns({"part": number(r"^part-(\d+)"), "piece": number(r"-c(\d+)\.")})
+    counts = sorted(files.collect(), key=lambda r: (r.part, r.piece))
+    begin, total = [], 0
+    for r in counts:
+        begin.append((r.mix_file, total))
+        total += r["count"]
+    offsets = F.broadcast(laid.sparkSession.createDataFrame(begin, "mix_file string, mix_begin bigint"))
+    placed = laid.select(*[c for c in laid.columns if c != to], name.alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    return placed.join(offsets, "mix_file").withColumn(to, F.col("mix_begin") + F.col("mix_row")).drop("mix_file", "mix_row", "mix_begin")

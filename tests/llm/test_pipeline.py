@@ -5,6 +5,7 @@ import tiktoken
 import corpus_pipeline
 from tessella.llm.queries import bpe_vocabulary, remainder
 from tessella.llm.quality_classifier import quality_scores
+from tessella.llm.source_mixing import mix_sources
 from test_ngram_join import brute as near
 from test_substring_dedup import brute as repeats
 
@@ -43,3 +44,22 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
 def test_run_gives_the_rows_of_the_last_stage(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(rows.columns) and rows.count() > 100
+
+
+def test_run_over_many_files_returns_the_schedule(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wanted = {r.doc_id: r.slot for r in mix_sources(docs).collect()}
+    files = []
+
+    def tokens(session, laid, folder):
+        files.extend(laid.inputFiles())
+        return corpus_pipeline.byte_bpe(session, laid, folder)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[3], ("byte_bpe", tokens)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = corpus_pipeline.run(spark, sf_dir).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 3 and len(got) == len(wanted) == docs.count()
+    assert {r.doc_id: r.slot for r in got} == wanted
