@@ -6,17 +6,18 @@ deadline ceil((j + 1) * P / p) in slots. Earliest deadline first among the relea
 every slot with one block and keeps each source within less than one block of its target share
 at every prefix (weights add up to one processor, for which this schedule is optimal).
 
-The schedule repeats after P slots, so only one period is worked out; P is a documented parameter
-(`period`), not a function of the data. Rows are never dropped or repeated: when a source runs out,
+The integers p are the exact target weights on their least common denominator, so nothing is
+rounded (`period` asks for weights rounded to that sum instead). The schedule repeats after P slots;
+it is worked out for P slots, or, where P is longer, up to the slot in which a source runs out. Rows are never dropped or repeated: when a source runs out,
 a new phase begins with the weights of the sources that are left, and the bound then holds
 within that phase.
 
 Scale. A row's rank in its source comes from a count for each (source, slice of a hash space),
 a running sum over these counts, and a row_number inside one slice; a source that holds a third
-of all rows is thus spread over all its slices. The plan table has one row a source with its
-phases and patterns, at most max_sources * phases * period integers, checked before it is
-broadcast. Blocks are laid out by a hash of doc_id and text, so the order within a source is
-a fixed shuffle.
+of all rows is thus spread over all its slices. The driver works out the slots, in time linear in the
+blocks and 8 bytes a block; they go out in rows of CHUNK_BLOCKS blocks of a source, broadcast up to
+BROADCAST_BLOCKS blocks and joined by a shuffle beyond. Blocks are laid out by a hash of doc_id and
+text, so the order within a source is a fixed shuffle.
 
 Edge cases: a null source is a source of its own. A source without a weight gets none in the
 mix and comes after all others (weight 0). Empty tables give an empty result. Repeated rows have
@@ -26,18 +27,31 @@ places of their own. Null doc_ids and texts are ranked like any other value.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD = 1000
 MAX_SOURCES = 2000
-MAX_PLAN = 4_000_000
+BROADCAST_BLOCKS = 4_000_000
+CHUNK_BLOCKS = 1024
 SLICE_ROWS = 20_000
 
 
-def integer_weights(weights: dict, period: int = PERIOD) -> dict:
+def exact_weights(weights: dict) -> dict:
+    """The positive weights as the least integers in exactly their ratios."""
+    positive = {k: Fraction(w) for k, w in weights.items() if w > 0}
+    scale = math.lcm(*[w.denominator for w in positive.values()])
+    out = {k: int(w * scale) for k, w in positive.items()}
+    shared = math.gcd(*out.values())
+    return {k: n // shared for k, n in out.items()}
+
+
+def integer_weights(weights: dict, period: int) -> dict:
     """Weights as integers of sum `period` by largest remainder; each positive weight gets one at least."""
     positive = {k: Fraction(w) for k, w in weights.items() if w > 0}
     total = sum(positive.values())
@@ -54,15 +68,18 @@ def integer_weights(weights: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def pfair_period(weights: dict) -> dict:
-    """The slots of each source in one period of sum(weights) slots."""
+def pfair_period(weights: dict, blocks: dict | None = None) -> dict:
+    """The slots of each source in one period of sum(weights) slots, or up to the slot in which a source
+    has taken all its blocks."""
     period = sum(weights.values())
     names = sorted(weights, key=str)
-    taken: dict = {k: [] for k in names}
+    taken: dict = {k: array("q") for k in names}
+    most = [blocks[k] if blocks else weights[k] + 1 for k in names]
     waiting = [(0, i) for i in range(len(names))]  # (release, source)
     ready: list[tuple[int, int]] = []  # (deadline, source)
     heapq.heapify(waiting)
-    for slot in range(period):
+    slot = 0
+    while slot < period:
         while waiting and waiting[0][0] <= slot:
             _, i = heapq.heappop(waiting)
             j, p = len(taken[names[i]]), weights[names[i]]
@@ -71,9 +88,12 @@ def pfair_period(weights: dict) -> dict:
         assert slot < deadline
         k = names[i]
         taken[k].append(slot)
-        if (j := len(taken[k])) < weights[k]:
+        slot += 1
+        if (j := len(taken[k])) == most[i]:
+            break
+        if j < weights[k]:
             heapq.heappush(waiting, (j * period // weights[k], i))
-    return taken
+    return {k: list(x) for k, x in taken.items()} if blocks is None else taken
 
 
 def plan_phases(blocks: dict, weights: dict) -> dict:
@@ -85,15 +105,18 @@ def plan_phases(blocks: dict, weights: dict) -> dict:
     while alive or rest:
         if not alive:  # sources without a weight follow, one after the other
             alive, rest = {rest[0]: 1}, rest[1:]
-        pattern, period = pfair_period(alive), sum(alive.values())
-        # the slot after the last block of each source, counted from the start of the phase
         left = {k: blocks[k] - done[k] for k in alive}
-        ends = {k: (left[k] - 1) // alive[k] * period + pattern[k][(left[k] - 1) % alive[k]] + 1 for k in alive}
+        pattern = pfair_period(alive, left)
+        period = sum(map(len, pattern.values()))
+        # the slot after the last block of each source, counted from the start of the phase; a source
+        # runs out within the pattern unless that is a whole period
+        whole_period = period == sum(alive.values())
+        ends = {k: (left[k] - 1) // len(at) * period + at[(left[k] - 1) % len(at)] + 1 for k, at in pattern.items() if whole_period or len(at) == left[k]}
         stop = min(ends.values())
         for k in alive:
             out[k].append((done[k], start, period, pattern[k]))
             whole, part = divmod(stop, period)
-            done[k] += whole * alive[k] + sum(s < part for s in pattern[k])
+            done[k] += whole * len(pattern[k]) + sum(s < part for s in pattern[k])
         start += stop
         alive = {k: w for k, w in alive.items() if done[k] < blocks[k]}
     return out
@@ -111,43 +134,56 @@ def _rank_in_source(docs: DataFrame, source: str, order: Column, rows: int) -> D
     return ranked.join(offsets, F.col("src").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl"))).withColumn("rank", F.col("offset") + F.col("within") - 1)
 
 
-def _plan_table(docs: DataFrame, plan: dict) -> DataFrame:
-    """The phases as a table of one row a source, made by SQL functions from a JSON literal."""
-    import json
+def block_slots(blocks: dict, weights: dict) -> dict:
+    """The slot of every block of each source."""
+    out = {}
+    for k, phases in plan_phases(blocks, weights).items():
+        ends = [b for b, *_ in phases[1:]] + [blocks[k]]
+        parts = [np.zeros(0, np.int64)]
+        for (b, t, p, at), end in zip(phases, ends, strict=True):
+            if end > b:
+                j = np.arange(end - b)
+                parts.append(t + j // len(at) * p + np.asarray(at, np.int64)[j % len(at)])
+        out[k] = np.concatenate(parts)
+    return out
+
 
-    size = sum(len(pattern) + 3 for phases in plan.values() for *_, pattern in phases)
-    if size > MAX_PLAN:
-        raise ValueError(f"the plan has {size} numbers; the broadcast bound is {MAX_PLAN}: use a shorter period")
-    kind = "array<struct<s:string,phases:array<struct<b:bigint,t:bigint,p:bigint,at:array<int>>>>>"
-    rows = [{"s": k, "phases": [{"b": b, "t": t, "p": p, "at": at} for b, t, p, at in phases]} for k, phases in plan.items()]
-    one = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("x"))
-    return one.select(F.col("x.s").alias("plan_source"), F.col("x.phases").alias("phases"))
+def _plan_table(docs: DataFrame, slots: dict, weights: dict) -> DataFrame:
+    """The slots as a table of one row for each source and CHUNK_BLOCKS blocks."""
+    rows = [(k, chunk, at[chunk * CHUNK_BLOCKS : (chunk + 1) * CHUNK_BLOCKS]) for k, at in slots.items() for chunk in range(-(-len(at) // CHUNK_BLOCKS))]
+    bounds = np.cumsum([0, *[len(at) for *_, at in rows]])
+    columns = {
+        "plan_source": pa.array([None if k is None else str(k) for k, *_ in rows], pa.string()),
+        "plan_chunk": pa.array([chunk for _, chunk, _ in rows], pa.int64()),
+        "plan_weight": pa.array([float(weights.get(k, 0)) for k, *_ in rows], pa.float64()),
+        "plan_slots": pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(np.concatenate([at for *_, at in rows]))),
+    }
+    table = docs.sparkSession.createDataFrame(pa.table(columns))
+    return F.broadcast(table) if bounds[-1] <= BROADCAST_BLOCKS else table
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 1, period: int = PERIOD, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with weight (integer of sum `period`), block, slot and row_in_block.
+def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 1, period: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with weight (the target weight; with a period, the integer it is rounded to), block, slot and
+    row_in_block.
 
     weights: target weight of each source; None takes rows ** power of each source, the usual
     flattened mix. Read the result in the order (slot, row_in_block) for the mix.
     """
     sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()} if _few_sources(docs, source) else {}
-    added = {"weight": "int", "block": "bigint", "slot": "bigint", "row_in_block": "int"}
+    added = {"weight": "double", "block": "bigint", "slot": "bigint", "row_in_block": "int"}
     if not sizes:
         return docs.withColumns({k: F.lit(None).cast(t) for k, t in added.items()}).limit(0)
     wanted = weights if weights is not None else {k: float(n) ** power for k, n in sizes.items()}
-    known = integer_weights({k: w for k, w in wanted.items() if k in sizes}, period)
-    plan = plan_phases({k: -(-n // block_rows) for k, n in sorted(sizes.items(), key=lambda x: str(x[0]))}, known)
+    known = {k: w for k, w in wanted.items() if k in sizes and w > 0}
+    known = integer_weights(known, period) if period is not None else known
+    blocks = {k: -(-n // block_rows) for k, n in sorted(sizes.items(), key=lambda x: str(x[0]))}
+    slots = block_slots(blocks, exact_weights(known))
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("src"), F.xxhash64(F.col(key), F.col(text)).alias("tie"))
     ranked = _rank_in_source(rows, source, F.xxhash64(F.lit(7), F.hash(F.col("tie")), F.col("tie")), sum(sizes.values()))
-    table = F.broadcast(_plan_table(docs, plan))
-    met = ranked.join(table, F.col("src").eqNullSafe(F.col("plan_source")))
-    met = met.withColumn("block", F.floor(F.col("rank") / block_rows).cast("bigint"))
-    phase = F.element_at(F.filter("phases", lambda x: x.b <= F.col("block")), -1)
-    met = met.withColumn("phase", phase).withColumn("j", F.col("block") - F.col("phase.b")).withColumn("w", F.size("phase.at").cast("bigint"))
-    slot = F.col("phase.t") + F.expr("j div w") * F.col("phase.p") + F.get("phase.at", (F.col("j") % F.col("w")).cast("int"))
-    pairs = F.create_map(*[x for k, n in known.items() if k is not None for x in (F.lit(k), F.lit(n))]) if any(k is not None for k in known) else None
-    weight = F.coalesce(F.when(F.col("src").isNull(), F.lit(known.get(None, 0))), F.try_element_at(pairs, F.col("src")) if pairs is not None else F.lit(None), F.lit(0))
-    made = {"weight": weight.cast("int"), "block": F.col("block"), "slot": slot.cast("bigint"), "row_in_block": (F.col("rank") % block_rows).cast("int")}
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows).cast("bigint")).withColumn("chunk", F.expr(f"block div {CHUNK_BLOCKS}"))
+    met = ranked.join(_plan_table(docs, slots, known), F.col("src").eqNullSafe(F.col("plan_source")) & (F.col("chunk") == F.col("plan_chunk")))
+    slot = F.get("plan_slots", (F.col("block") % CHUNK_BLOCKS).cast("int"))
+    made = {"weight": F.col("plan_weight"), "block": F.col("block"), "slot": slot, "row_in_block": (F.col("rank") % block_rows).cast("int")}
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in made]
     return met.select(*kept, *[c.alias(k) for k, c in made.items()])
 

@@ -1,10 +1,12 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm.source_mixing import in_mix_order, integer_weights, mix_sources, pfair_period, plan_phases
+from tessella.llm.source_mixing import block_slots, exact_weights, in_mix_order, integer_weights, mix_sources, pfair_period, plan_phases
 
 
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 40), min_size=1))
@@ -66,3 +68,34 @@ def test_blocks_of_rows_nulls_ties_and_empty_tables(spark):
     assert len(got) == 34 and len({(r.slot, r.row_in_block) for r in got}) == 34
     assert sorted({r.slot for r in got}) == list(range(5 + 3 + 1))
     assert mix_sources(docs.limit(0)).count() == 0
+
+
+def holds_the_targets(slots, weights):
+    """At every prefix up to the end of the first source, each source is within one block of its exact share."""
+    total, stop = sum(map(Fraction, weights.values())), min(int(at[-1]) for at in slots.values())
+    for k, w in weights.items():
+        share = Fraction(w) / total
+        for j, slot in enumerate(x for x in slots[k].tolist() if x <= stop):
+            assert j - slot * share > -1 and (j + 1) - (slot + 1) * share < 1
+
+
+@pytest.mark.parametrize("weights", [{"a": Fraction(1, 3), "b": Fraction(2, 3)}, {"a": 1 / 3, "b": 2 / 3}, {"a": 1, "b": 9999}, {k: math.sqrt(n) for k, n in (("a", 2), ("b", 3001), ("c", 70_001))}])
+def test_exact_targets_hold_over_many_thousands_of_slots(weights):
+    total = sum(weights.values())
+    slots = block_slots({k: int(40_000 * w / total) + 1 for k, w in weights.items()}, exact_weights(weights))
+    assert sorted(x for at in slots.values() for x in at.tolist()) == list(range(sum(map(len, slots.values()))))
+    holds_the_targets(slots, weights)
+
+
+def test_root_weights_hold_for_every_row_and_sources_may_be_more_than_a_thousand(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "cast(id AS string) AS text", "CASE WHEN id < 9000 THEN 'a' WHEN id < 11500 THEN 'b' ELSE 'c' END AS source")
+    got = mix_sources(docs).collect()
+    sizes = Counter(r.source for r in got)
+    assert {r.source: r.weight for r in got} == {k: float(n) ** 0.5 for k, n in sizes.items()}
+    slots = {k: sorted(r.slot for r in got if r.source == k) for k in sizes}
+    assert sorted(r.slot for r in got) == list(range(12_000))
+    import numpy as np
+
+    holds_the_targets({k: np.array(x) for k, x in slots.items()}, {k: float(n) ** 0.5 for k, n in sizes.items()})
+    many = spark.range(3000).selectExpr("id AS doc_id", "'x' AS text", "concat('s', id % 1500) AS source")
+    assert sorted(r.slot for r in mix_sources(many).collect()) == list(range(3000))
