@@ -4,9 +4,10 @@ Tokens are the words of a text with A-Z lower-cased, then one end token. The mod
 a Dirichlet prior: p(w) = (c(w) + 1) / (N + V + 1) and, for every longer context h with h' its
 suffix, p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k). As an automaton: the known contexts are
 states; a seen n-gram hw is an arc with weight log10 p(w | h) from h to the longest suffix of hw
-that is a state; a failure arc with weight log10(k / (c(h) + k)) leads from h to h'. A text is
-scored by one traversal from left to right that carries the state: it takes the arc of its
-token where there is one, else failure arcs until there is.
+that is a state; a failure arc with weight log10(k / (c(h) + k)) leads from h to h'. A token is
+scored by its arc where there is one, else by failure arcs until there is. The state before a token
+hangs on the order - 1 tokens before it alone, so all places of a batch are looked up at once, level
+by level, and no state is carried from token to token.
 
 The counts cover all training texts and grow with them, so nothing is pruned and no table is
 broadcast. The texts are dealt into batches of about BATCH_BYTES by a hash. A batch asks for its
@@ -16,8 +17,7 @@ of its question, so an answer is one small number an n-gram. With the answers, a
 the part of the automaton that its texts can reach and traverses it. A word that stands in
 every text costs one entry a batch. The text is shuffled once (both uses share the exchange).
 
-Orders above 2 work too (`order`); the registered query takes 2, since the distinct trigrams of a
-batch are nearly as many as its words.
+The registered query takes order 3; other orders work too (`order`).
 
 Edge cases: null and empty texts are the end token alone. Without training texts N = V = 0 and
 every token has probability 1 in p(w). Repeated rows score alike; a null key is kept. N-grams
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import packing as P
 from . import textscan as S
 
-ORDER = 2
+ORDER = 3
 STRENGTH = 200.0
 BATCH_BYTES = 20 << 20
 BUCKET_WORDS = 1_000_000
@@ -156,7 +156,8 @@ class Batch:
 
 
 class BackoffAutomaton:
-    """The states that the texts of a batch can reach, by the token that leads to them.
+    """The states that the texts of a batch can reach, by the token that leads to them: a text is in the
+    state of the longest context that exists, whatever way led there.
 
     State (n, t) is the context of the n tokens that end at token t; it exists if its count is
     positive. arcs[n][t] is the weight of the arc for token t out of the context of n tokens

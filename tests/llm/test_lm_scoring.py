@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm.lm_scoring import score_texts
+from tessella.llm.queries import op8_lm_scoring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,3 +74,14 @@ def test_repeats_nulls_and_no_training_texts(spark):
     got = score_texts(docs, F.lit(False)).collect()
     assert len(got) == 4 and {(r.train_tokens, r.n_known, r.score, r.base_score) for r in got} == {(0, 0, 0.0, 0.0)}
     assert score_texts(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_the_registered_query_takes_two_words_of_context(spark, tmp_path):
+    rows = [(k, "a b c . b c d . c d a") for k in range(40)]
+    mixed = [(k, "a b c d") for k in range(100, 140)] + [(k, "d a b . c d") for k in range(140, 180)]
+    spark.createDataFrame(rows + mixed, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    trained = {d for d, _ in rows + mixed if zlib.crc32(str(d).encode()) % 7 != 2}
+    want = brute(rows + mixed, trained, 3, 200.0)
+    pairs = brute(rows + mixed, trained, 2, 200.0)
+    for r in op8_lm_scoring(spark, str(tmp_path)).collect():
+        assert r.score == pytest.approx(want[r.doc_id][-1], abs=2e-6) and abs(r.score - pairs[r.doc_id][-1]) > 0.01
