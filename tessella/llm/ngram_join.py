@@ -55,7 +55,7 @@ from .components import components
 
 WIDTH = 5
 THRESHOLD = 0.8
-RECALL = 0.9999
+RECALL = 1 - 1e-6
 FAN = 4
 LEVELS = 3
 SMALL = 200

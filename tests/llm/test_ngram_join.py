@@ -113,3 +113,11 @@ def test_sets_that_can_be_linked_share_a_size_class():
 def test_chunks_of_large_sets(spark, monkeypatch):
     monkeypatch.setattr(J, "CHUNK_TOKENS", 60)
     check(spark, corpus(3, groups=5, size=9))
+
+
+def test_the_registered_recall_takes_three_runs():
+    from tessella.llm import ngram_join as J
+
+    assert J.RECALL >= 1 - 1e-6 and J.runs_for(J.RECALL, J.THRESHOLD) == 3
+    missed = (1 - (1 - (1 - J.THRESHOLD) ** J.FAN) ** J.LEVELS) ** J.runs_for(J.RECALL, J.THRESHOLD)
+    assert missed <= 1e-6
