@@ -10,11 +10,10 @@ counts; `accepted` is false where the cross-entropy lies beyond the quantile REJ
 language's own texts of that calibration part, which marks texts in no learned language.
 
 The classifier is fitted on a bounded sample of labelled rows: TRAIN_DOCS rows a language in
-expectation (chosen by a hash of the key), every fifth of them for calibration. The model
-keeps at most MODEL_GRAMS n-grams of the highest order a language, by count; at most
-MAX_LANGUAGES languages are learned. So what is collected and sent out is bounded by these
-parameters at any size of the input, and the prediction is one pass without a shuffle, over
-every whole text.
+expectation (chosen by a hash of the key), every fifth of them for calibration; a language whose
+rows would all fall to the calibration counts them instead. Every language and every n-gram of the
+sample is kept, so what is collected and sent out grows with the languages, but not with the rows of
+one. The prediction is one pass without a shuffle, over every whole text.
 
 In a batch, only the distinct n-grams are looked up, and a text's sum is a sum of looked-up
 values.
@@ -31,15 +30,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import packing as P
 
 ORDER = 4
 TRAIN_DOCS = 4000
-MODEL_GRAMS = 200_000
-MAX_LANGUAGES = 400
 REJECT = 0.995
 PIECE_CHARS = 1_500_000
 DENSE = 1 << 25
@@ -187,7 +184,7 @@ class LanguageModel:
             self.limits[k] = np.quantile(own, REJECT) * 1.1 if len(own) else np.inf
 
 
-def _train(model_grams: int, labelled: DataFrame) -> LanguageModel:
+def _train(labelled: DataFrame) -> LanguageModel:
     """labelled: lang, text, calibrate."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +205,7 @@ def _train(model_grams: int, labelled: DataFrame) -> LanguageModel:
 
     counted = labelled.where("NOT calibrate").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    table = counted.withColumn("rank", rank).where(F.col("rank") <= model_grams).select("lang", "gram", "n").toArrow()
+    table = counted.toArrow()
     langs = np.array(table.column("lang").to_pylist(), dtype=object)
     keys, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
     model = LanguageModel({k: KneserNey(keys[langs == k], n[langs == k]) for k in set(langs)})
@@ -227,17 +223,19 @@ def _train(model_grams: int, labelled: DataFrame) -> LanguageModel:
     return model
 
 
-def identify_language(docs: DataFrame, learn: Column, train_docs: int = TRAIN_DOCS, model_grams: int = MODEL_GRAMS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify_language(docs: DataFrame, learn: Column, train_docs: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, lang_pred, score, entropy (of the winner) and accepted for every row; learns where `learn` holds."""
     labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    fifth = F.pmod(F.xxhash64(F.lit(13), F.col(key)), F.lit(5)) == 0
+    sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("rows"), F.count_if(~fifth).alias("counting")).collect()
     pick = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
+    share = F.lit(1.0)
     for r in sizes:
-        share = F.when(F.col(lang) == r["lang"], min(1.0, train_docs / r["count"])).otherwise(share)
-    calibrate = F.pmod(F.xxhash64(F.lit(13), F.col(key)), F.lit(5)) == 0
+        if r.rows > train_docs:
+            share = F.when(F.col(lang) == r.lang, train_docs / r.rows).otherwise(share)
+    calibrate = fifth & ~F.col(lang).isin([r.lang for r in sizes if not r.counting])
     sample = labelled.where(pick < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), calibrate.alias("calibrate"))
-    model = _train(model_grams, sample)
+    model = _train(sample)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 

@@ -66,3 +66,10 @@ def test_rejection_nulls_and_empty_tables(spark):
     assert by[94].lang_pred == "en" and by[None].lang_pred == "fr" and not by[93].accepted
     assert identify_language(docs.limit(0), F.lit(True)).count() == 0
     assert {r.lang_pred for r in identify_language(docs, F.lit(False)).collect()} == {"und"}
+
+
+def test_every_language_is_learned_whatever_their_number(spark):
+    names = [chr(0x4E00 + 3 * k) * 3 for k in range(420)]
+    rows = [(k, f"l{k}", " ".join([x] * 5)) for k, x in enumerate(names)]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {k: lang for k, lang, _ in rows}
