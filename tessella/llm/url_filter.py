@@ -6,15 +6,16 @@ prefix that a rule could have, the expressions are equi-joined with the rules on
 hex digits of their SHA-256, and a hit counts only if the full digests are equal. Of the rules
 that fit, the longest (host and path together) wins; at equal length the longer host, then block.
 
-Suffixes have at most as many labels as the longest rule host, and prefixes end at a slash or at
-the length of a rule path that does not end in one; no other expression could equal a rule, so
-nothing is lost. The same URL is judged once. The rules are broadcast while they are at most
+Suffixes have at most as many labels as the longest rule host, and prefixes are as long as some rule's
+path (and end in a slash where all rules of that length do); no other expression could equal a rule,
+so nothing is lost, and a URL has no more of them if it is very long. The same URL is judged once. The rules are broadcast while they are at most
 BROADCAST_RULES rows; beyond that both sides are dealt by hash prefix and a salt, since an
 expression such as `com/` belongs to a large share of all URLs.
 
 Edge cases: a null url and one without `://` have an empty host and path, and no rule. An empty
 path matches only rules with an empty path. Only A-Z are lower-cased. Repeated rows are kept.
-With an empty rule table every URL gets the default verdict.
+With an empty rule table every URL gets the default verdict; an empty table of pages gives an empty
+result. Columns of pages named host, path, rule or verdict are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -44,17 +45,17 @@ def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> Da
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
 
-def _expressions(labels: int, slashes: bool, lengths: list[int]) -> Column:
-    """All host-suffix + path-prefix expressions of the columns host and path that a rule could have."""
+def _expressions(labels: int, slashes: list[int], others: list[int]) -> Column:
+    """All host-suffix + path-prefix expressions of the columns host and path that a rule could have: `slashes`
+    and `others` are the lengths of the rules' paths that end in a slash and that do not."""
     parts = F.split("host", r"\.")
     tail = F.when(F.size(parts) > labels, F.slice(parts, F.size(parts) - labels + 1, labels)).otherwise(parts)
     hosts = F.transform(F.sequence(F.lit(1), F.size(tail)), lambda k: F.array_join(F.slice(tail, k, F.size(tail)), "."))
-    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("path"))
-    if slashes:
-        steps = F.split("path", "/")
-        ends = F.transform(F.slice(steps, 1, F.size(steps) - 1), lambda x: F.char_length(x) + 1)
-        at = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda k: F.aggregate(F.slice(ends, 1, k), F.lit(0), lambda a, x: a + x))
-        cuts = F.array_distinct(F.concat(cuts, F.when(F.size(ends) > 0, at).otherwise(F.array().cast("array<int>"))))
+    lengths = lambda of: F.array(*[F.lit(n) for n in of]).cast("array<int>")
+    cuts = F.array_union(
+        F.filter(lengths(others), lambda n: n <= F.char_length("path")),
+        F.filter(lengths(slashes), lambda n: F.substring(F.col("path"), n, F.lit(1)) == "/"),
+    )
     paths = F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
 
@@ -65,8 +66,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     shape = rules.agg(
         F.count("*").alias("n"),
         F.max(F.size(F.split("host", r"\."))).alias("labels"),
-        F.max(F.when(F.col("path").endswith("/"), 1).otherwise(0)).alias("slashes"),
-        F.sort_array(F.collect_set(F.when(~F.col("path").endswith("/"), F.char_length("path")))).alias("lengths"),
+        F.sort_array(F.collect_set(F.when(F.col("path").endswith("/"), F.char_length("path")))).alias("slashes"),
+        F.sort_array(F.collect_set(F.when(~F.col("path").endswith("/"), F.char_length("path")))).alias("others"),
     ).first()
     named = pages.withColumns({"host": url_host(pages[url]), "path": url_path(pages[url])}) if url in pages.columns else pages
     if not shape.n:
@@ -75,7 +76,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     table = rules.select(F.concat("host", "path").alias("expression"), F.char_length("host").alias("host_chars"), F.col("verdict").alias("rule_verdict"))
     table = table.select("*", digest.alias("rule_digest"), F.substring(digest, 1, 8).alias("prefix")).withColumnRenamed("expression", "rule")
     urls = named.where("host <> ''").select("host", "path").distinct()
-    probes = urls.select("host", "path", F.explode(_expressions(shape.labels, bool(shape.slashes), list(shape.lengths))).alias("expression"))
+    probes = urls.select("host", "path", F.explode(_expressions(shape.labels, list(shape.slashes), list(shape.others))).alias("expression"))
     probes = probes.select("host", "path", digest.alias("digest"), F.substring(digest, 1, 8).alias("prefix"))
     if shape.n <= broadcast_rules:
         met = probes.join(F.broadcast(table), "prefix")

@@ -50,3 +50,11 @@ def test_random_rules_with_and_without_broadcast(spark):
 def test_empty_tables(spark):
     run(spark, URLS, [("", "/", "block")])
     assert U.url_filter(spark.createDataFrame([], "page_id long, url string"), U.rule_table(spark, RULES)).count() == 0
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    long = ["http://x.net/es/" + "/" * 20_000, "http://" + "a." * 20_000 + "net/fr/", "http://www.example.com/" + "en/" * 5_000, "://" + "x" * 100_000]
+    run(spark, [*long, *URLS], [*RULES, ("net", "/es/" + "/" * 30, "allow"), ("net", "", "block"), ("net", "/es/x", "allow")])
+    pages = spark.createDataFrame([(1, "http://a.com/", "h", "p", "r", "v", 5)], "page_id int, url string, host string, path string, rule string, verdict string, prefix int")
+    got = U.url_filter(pages, U.rule_table(spark, RULES)).collect()
+    assert [tuple(r.asDict().values()) for r in got] == [(1, "http://a.com/", "a.com", "/", 5, "com/", "allow")]
