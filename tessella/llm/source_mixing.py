@@ -1,27 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-Every source is cut into blocks of `block_rows` documents. With the integer weight p of a source
-and the sum P of all weights, its block j (from 0) has the release time floor(j * P / p) and the
-deadline ceil((j + 1) * P / p) in slots. Earliest deadline first among the released blocks fills
-every slot with one block and keeps each source within less than one block of its target share
-at every prefix (weights add up to one processor, for which this schedule is optimal).
-
-The integers p are the exact target weights on their least common denominator, so nothing is
-rounded (`period` asks for weights rounded to that sum instead). The schedule repeats after P slots;
-it is worked out for P slots, or, where P is longer, up to the slot in which a source runs out. Rows are never dropped or repeated: when a source runs out,
-a new phase begins with the weights of the sources that are left, and the bound then holds
-within that phase.
+Every source is cut into blocks of `block_rows` documents. In the fluid mix that the schedule follows, a
+source of weight w gets w / W of every slot, W being the weights of the sources that still have rows:
+when a source runs out, its share goes to the others. Block j (from 0) of a source has its release time
+where its fluid share of the source begins, rounded down to a slot, and its deadline where that share
+ends, rounded up (floor(j * W / w) and ceil((j + 1) * W / w) until a source runs out). Earliest deadline
+first among the released blocks fills every slot with one block and keeps each source within less than
+one block of its fluid share at every prefix (the shares add up to one processor, for which this
+schedule is optimal). Weights are taken exactly, as fractions; nothing is rounded but the times.
+Rows are never dropped or repeated.
 
 Scale. A row's rank in its source comes from a count for each (source, slice of a hash space),
 a running sum over these counts, and a row_number inside one slice; a source that holds a third
-of all rows is thus spread over all its slices. The driver works out the slots, in time linear in the
-blocks and 8 bytes a block; they go out in rows of CHUNK_BLOCKS blocks of a source, broadcast up to
-BROADCAST_BLOCKS blocks and joined by a shuffle beyond. Blocks are laid out by a hash of doc_id and
-text, so the order within a source is a fixed shuffle.
+of all rows is thus spread over all its slices. The schedule hangs on the counts by source alone, which
+come to the driver, a number a source. It is worked out there, slot by slot, since the bound holds for
+the sequence only; a block has as many rows as it takes for about MAX_BLOCKS blocks in all (one row in
+each source for smaller tables), so the driver's time and memory do not grow with the rows. The slots
+go out in rows of CHUNK_BLOCKS blocks of a source, broadcast up to BROADCAST_BLOCKS blocks and joined by
+a shuffle beyond (many sources of few rows). Blocks are laid out by a hash of doc_id and text, so the
+order within a source is a fixed shuffle.
 
 Edge cases: a null source is a source of its own. A source without a weight gets none in the
 mix and comes after all others (weight 0). Empty tables give an empty result. Repeated rows have
-places of their own. Null doc_ids and texts are ranked like any other value.
+places of their own. Null doc_ids and texts are ranked like any other value, and very long texts count
+as one row. Columns named weight, block, slot or row_in_block are replaced; all others pass through.
 """
 
 from __future__ import annotations
@@ -31,12 +33,11 @@ import math
 from array import array
 from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_SOURCES = 2000
+MAX_BLOCKS = 1_000_000
 BROADCAST_BLOCKS = 4_000_000
 CHUNK_BLOCKS = 1024
 SLICE_ROWS = 20_000
@@ -51,75 +52,57 @@ def exact_weights(weights: dict) -> dict:
     return {k: n // shared for k, n in out.items()}
 
 
-def integer_weights(weights: dict, period: int) -> dict:
-    """Weights as integers of sum `period` by largest remainder; each positive weight gets one at least."""
-    positive = {k: Fraction(w) for k, w in weights.items() if w > 0}
-    total = sum(positive.values())
-    if not positive or len(positive) > period:
-        raise ValueError("the period must be at least the number of weighted sources")
-    exact = {k: w / total * period for k, w in positive.items()}
-    out = {k: int(x) for k, x in exact.items()}
-    rest = sorted(positive, key=lambda k: (out[k] - exact[k], str(k)))
-    for k in rest[: period - sum(out.values())]:
-        out[k] += 1
-    for k in [k for k, n in out.items() if not n]:
-        out[k] = 1
-        out[max(out, key=lambda x: (out[x], str(x)))] -= 1
-    return out
-
-
-def pfair_period(weights: dict, blocks: dict | None = None) -> dict:
-    """The slots of each source in one period of sum(weights) slots, or up to the slot in which a source
-    has taken all its blocks."""
-    period = sum(weights.values())
-    names = sorted(weights, key=str)
-    taken: dict = {k: array("q") for k in names}
-    most = [blocks[k] if blocks else weights[k] + 1 for k in names]
-    waiting = [(0, i) for i in range(len(names))]  # (release, source)
+class FluidMix:
+    """The fluid mix of sources with these numbers of blocks and integer weights."""
+
+    def __init__(self, blocks: list[int], weights: list[int]) -> None:
+        self.blocks, self.weights = blocks, weights
+        # sources in the order in which they run out, with the blocks and weights of those before and after
+        self.order = sorted(range(len(blocks)), key=lambda i: (Fraction(blocks[i], weights[i]), i))
+        self.done, self.open = [0], [sum(weights)]
+        for i in self.order:
+            self.done.append(self.done[-1] + blocks[i])
+            self.open.append(self.open[-1] - weights[i])
+
+    def time(self, i: int, x: int) -> tuple[int, int]:
+        """Where source i has got x blocks, as a numerator and a denominator in slots."""
+        w, low, high = self.weights[i], 0, len(self.order)
+        while low < high:
+            middle = (low + high) // 2
+            k = self.order[middle]
+            if self.blocks[k] * w <= x * self.weights[k]:
+                low = middle + 1
+            else:
+                high = middle
+        return self.done[low] * w + x * self.open[low], w
+
+
+def block_slots(blocks: dict, weights: dict) -> dict:
+    """The slot of every block of each source, by earliest deadline first. Sources without a weight follow
+    the others, one after the other."""
+    names = [k for k in blocks if k in weights and blocks[k]]
+    mix = FluidMix([blocks[k] for k in names], [weights[k] for k in names])
+    taken: dict = {k: array("q") for k in blocks}
+    waiting = [(0, i) for i in range(len(names))]  # (release, source); sorted, so a heap
     ready: list[tuple[int, int]] = []  # (deadline, source)
-    heapq.heapify(waiting)
-    slot = 0
-    while slot < period:
+    ends: list[tuple[int, int]] = [(0, 1)] * len(names)  # where the last block of each ends
+    total = sum(mix.blocks)
+    for slot in range(total):
         while waiting and waiting[0][0] <= slot:
             _, i = heapq.heappop(waiting)
-            j, p = len(taken[names[i]]), weights[names[i]]
-            heapq.heappush(ready, (-(-(j + 1) * period // p), i))
+            end = ends[i] = mix.time(i, len(taken[names[i]]) + 1)
+            heapq.heappush(ready, (-(-end[0] // end[1]), i))
         deadline, i = heapq.heappop(ready)
         assert slot < deadline
-        k = names[i]
-        taken[k].append(slot)
-        slot += 1
-        if (j := len(taken[k])) == most[i]:
-            break
-        if j < weights[k]:
-            heapq.heappush(waiting, (j * period // weights[k], i))
-    return {k: list(x) for k, x in taken.items()} if blocks is None else taken
-
-
-def plan_phases(blocks: dict, weights: dict) -> dict:
-    """For each source its phases: (first block, first slot of the phase, period, slots in a period)."""
-    out: dict = {k: [] for k in blocks}
-    done = dict.fromkeys(blocks, 0)
-    start, alive = 0, {k: w for k, w in weights.items() if blocks.get(k)}
-    rest = [k for k in blocks if k not in weights and blocks[k]]
-    while alive or rest:
-        if not alive:  # sources without a weight follow, one after the other
-            alive, rest = {rest[0]: 1}, rest[1:]
-        left = {k: blocks[k] - done[k] for k in alive}
-        pattern = pfair_period(alive, left)
-        period = sum(map(len, pattern.values()))
-        # the slot after the last block of each source, counted from the start of the phase; a source
-        # runs out within the pattern unless that is a whole period
-        whole_period = period == sum(alive.values())
-        ends = {k: (left[k] - 1) // len(at) * period + at[(left[k] - 1) % len(at)] + 1 for k, at in pattern.items() if whole_period or len(at) == left[k]}
-        stop = min(ends.values())
-        for k in alive:
-            out[k].append((done[k], start, period, pattern[k]))
-            whole, part = divmod(stop, period)
-            done[k] += whole * len(pattern[k]) + sum(s < part for s in pattern[k])
-        start += stop
-        alive = {k: w for k, w in alive.items() if done[k] < blocks[k]}
-    return out
+        own = taken[names[i]]
+        own.append(slot)
+        if len(own) < mix.blocks[i]:
+            heapq.heappush(waiting, (ends[i][0] // ends[i][1], i))
+    for k in blocks:
+        if k not in weights:
+            taken[k].extend(range(total, total + blocks[k]))
+            total += blocks[k]
+    return taken
 
 
 def _rank_in_source(docs: DataFrame, source: str, order: Column, rows: int) -> DataFrame:
@@ -134,67 +117,48 @@ def _rank_in_source(docs: DataFrame, source: str, order: Column, rows: int) -> D
     return ranked.join(offsets, F.col("src").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl"))).withColumn("rank", F.col("offset") + F.col("within") - 1)
 
 
-def block_slots(blocks: dict, weights: dict) -> dict:
-    """The slot of every block of each source."""
-    out = {}
-    for k, phases in plan_phases(blocks, weights).items():
-        ends = [b for b, *_ in phases[1:]] + [blocks[k]]
-        parts = [np.zeros(0, np.int64)]
-        for (b, t, p, at), end in zip(phases, ends, strict=True):
-            if end > b:
-                j = np.arange(end - b)
-                parts.append(t + j // len(at) * p + np.asarray(at, np.int64)[j % len(at)])
-        out[k] = np.concatenate(parts)
-    return out
-
-
-def _plan_table(docs: DataFrame, slots: dict, weights: dict) -> DataFrame:
+def _plan_table(docs: DataFrame, source: str, slots: dict, weights: dict) -> DataFrame:
     """The slots as a table of one row for each source and CHUNK_BLOCKS blocks."""
-    rows = [(k, chunk, at[chunk * CHUNK_BLOCKS : (chunk + 1) * CHUNK_BLOCKS]) for k, at in slots.items() for chunk in range(-(-len(at) // CHUNK_BLOCKS))]
-    bounds = np.cumsum([0, *[len(at) for *_, at in rows]])
-    columns = {
-        "plan_source": pa.array([None if k is None else str(k) for k, *_ in rows], pa.string()),
-        "plan_chunk": pa.array([chunk for _, chunk, _ in rows], pa.int64()),
-        "plan_weight": pa.array([float(weights.get(k, 0)) for k, *_ in rows], pa.float64()),
-        "plan_slots": pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(np.concatenate([at for *_, at in rows]))),
-    }
-    table = docs.sparkSession.createDataFrame(pa.table(columns))
-    return F.broadcast(table) if bounds[-1] <= BROADCAST_BLOCKS else table
-
-
-def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int = 1, period: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with weight (the target weight; with a period, the integer it is rounded to), block, slot and
-    row_in_block.
+    rows = [(k, chunk, float(weights.get(k, 0)), at[chunk * CHUNK_BLOCKS : (chunk + 1) * CHUNK_BLOCKS].tolist()) for k, at in slots.items() for chunk in range(-(-len(at) // CHUNK_BLOCKS))]
+    schema = T.StructType(
+        [
+            T.StructField("plan_source", docs.schema[source].dataType),
+            T.StructField("plan_chunk", T.LongType()),
+            T.StructField("plan_weight", T.DoubleType()),
+            T.StructField("plan_slots", T.ArrayType(T.LongType())),
+        ]
+    )
+    table = docs.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(table) if sum(map(len, slots.values())) <= BROADCAST_BLOCKS else table
+
+
+def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_rows: int | None = None, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with weight (the target weight), block (of its source), slot and row_in_block.
 
     weights: target weight of each source; None takes rows ** power of each source, the usual
-    flattened mix. Read the result in the order (slot, row_in_block) for the mix.
+    flattened mix. block_rows: None takes as many as leave about MAX_BLOCKS blocks. Read the result in the
+    order (slot, row_in_block) for the mix.
     """
-    sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()} if _few_sources(docs, source) else {}
+    sizes = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}
     added = {"weight": "double", "block": "bigint", "slot": "bigint", "row_in_block": "int"}
     if not sizes:
         return docs.withColumns({k: F.lit(None).cast(t) for k, t in added.items()}).limit(0)
+    rows = sum(sizes.values())
+    block_rows = block_rows or -(-rows // MAX_BLOCKS)
     wanted = weights if weights is not None else {k: float(n) ** power for k, n in sizes.items()}
     known = {k: w for k, w in wanted.items() if k in sizes and w > 0}
-    known = integer_weights(known, period) if period is not None else known
     blocks = {k: -(-n // block_rows) for k, n in sorted(sizes.items(), key=lambda x: str(x[0]))}
     slots = block_slots(blocks, exact_weights(known))
-    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("src"), F.xxhash64(F.col(key), F.col(text)).alias("tie"))
-    ranked = _rank_in_source(rows, source, F.xxhash64(F.lit(7), F.hash(F.col("tie")), F.col("tie")), sum(sizes.values()))
+    packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("src"), F.xxhash64(F.col(key), F.col(text)).alias("tie"))
+    ranked = _rank_in_source(packed, source, F.xxhash64(F.lit(7), F.hash(F.col("tie")), F.col("tie")), rows)
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows).cast("bigint")).withColumn("chunk", F.expr(f"block div {CHUNK_BLOCKS}"))
-    met = ranked.join(_plan_table(docs, slots, known), F.col("src").eqNullSafe(F.col("plan_source")) & (F.col("chunk") == F.col("plan_chunk")))
+    met = ranked.join(_plan_table(docs, source, slots, known), F.col("src").eqNullSafe(F.col("plan_source")) & (F.col("chunk") == F.col("plan_chunk")))
     slot = F.get("plan_slots", (F.col("block") % CHUNK_BLOCKS).cast("int"))
     made = {"weight": F.col("plan_weight"), "block": F.col("block"), "slot": slot, "row_in_block": (F.col("rank") % block_rows).cast("int")}
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in made]
     return met.select(*kept, *[c.alias(k) for k, c in made.items()])
 
 
-def _few_sources(docs: DataFrame, source: str) -> bool:
-    n = docs.select(source).distinct().limit(MAX_SOURCES + 1).count()
-    if n > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give each its own group first")
-    return n > 0
-
-
 def in_mix_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows laid out in the order of the mix, range-partitioned by slot."""
     return mixed.repartitionByRange("slot", "row_in_block").sortWithinPartitions("slot", "row_in_block").select(*columns)
