@@ -33,3 +33,18 @@ def test_registry_is_whole():
 
 def test_flagship_returns_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_other_queries_stay_if_the_optional_part_cannot_be_imported(monkeypatch):
+    load = entry.importlib.import_module
+
+    def broken(name):
+        if name == "tessella.llm.queries":
+            raise ImportError("broken")
+        return load(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.warns(UserWarning, match="broken"):
+        assert set(entry.queries()) == set(registry.queries())
+    with pytest.warns(UserWarning, match="broken"):
+        assert set(entry.oracle_sql()) == set(registry.oracle_sql())
