@@ -3,23 +3,30 @@
 A unit vector is approximated by a sum of one codeword from each of BOOKS full-dimensional
 codebooks. The codebooks start as residual k-means and are then improved by least squares with
 the codes held fixed. Encoding is a beam search: after each book the BEAM best partial sums go
-on. A row of the index is its id, its codes (a byte a book) and the norm of the sum.
+on. A row of the index is its id, its codes (a byte a book), the norm of the sum and a hash of the vector.
 
 A query makes one table of inner products with all codewords; an index row's approximate cosine
 is the sum of its looked-up products over its norm. The queries (a stated subset) meet the whole
-index in blocks: every pair of a query block and an index block is one unit, which returns the
-RERANK best of each query (ties to the smaller id), packed. These are merged for each query
-block, and the RERANK best are reranked by the exact cosine of the original vectors in double
-precision.
+index in blocks: every pair of a query block and an index group is one unit, which makes the tables of
+its queries itself and returns the RERANK best of each query (ties to the smaller id), packed for each
+part of SCAN_QUERIES queries. These are merged part by part, MERGE units at a time, in as many rounds as
+it takes, so no task holds more than that. Rows that tie with the last of the RERANK best (near copies
+with the same codes) are no better and no worse than it: they go on as rows of their own and meet the
+final limit of their query by a join. All these candidates are reranked by the exact cosine of the
+original vectors in double precision.
 
 The codebooks are fitted on a bounded sample of about SAMPLE rows, chosen by a hash of the id;
-every row is indexed. What is sent to the executors is the codebooks, of fixed size.
+every row is indexed. What is sent to the executors is the codebooks, of fixed size. The index is encoded
+without a shuffle; what is shuffled is the vectors once (equal ids), the codes once for each query
+block, the queries once for each index group, and RERANK candidates a query with their vectors. Blocks
+and groups are as large as leaves PARTS of each, between the bounds QUERY_BLOCK and INDEX_GROUP.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor
-do rows without an id, nor vectors of another length than the most frequent (of equals the
-longest). Rows with the same id are one; of different vectors the least counts. A query is no
+do rows without an id. Vectors of different lengths have no cosine: each length is searched on its own.
+Rows with the same id are one; of different vectors the least counts. Of equal vectors that tie with
+the last candidate, no more than `k` + 1 go on from a unit, those of the smallest ids. A query is no
 candidate of its own. With fewer candidates than `k` all are returned. Empty tables give an
-empty result.
+empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,15 +39,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packing as P
+from . import textscan as S
 
-BOOKS = 16
+BOOKS = 24
 WORDS = 256
 BEAM = 4
 SAMPLE = 8192
 ROUNDS = 1
-RERANK = 400
-INDEX_BLOCK = 8192
-QUERY_BLOCK = 512
+RERANK = 200
+PARTS = 12
+INDEX_GROUP = (8192, 1 << 18)
+QUERY_BLOCK = (256, 2048)
+SCAN_ROWS, SCAN_QUERIES = 8192, 32
+MERGE = 32
 
 
 def _assign(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -114,28 +125,35 @@ class AdditiveQuantiser:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
 
-def best_of_block(tables: np.ndarray, own: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the ids and approximate cosines of its best rows of a block; -1 where there are fewer.
-
-    tables: [queries, books, words]. ids must ascend, so that a stable order breaks ties by id."""
-    n = len(ids)
-    keep = min(keep, n)
-    found, scores = np.full((len(tables), keep), -1, np.int64), np.full((len(tables), keep), -np.inf, np.float32)
-    for q, table in enumerate(tables):
-        s = np.zeros(n, np.float32)
-        for m in range(codes.shape[1]):
-            s += table[m][codes[:, m]]
-        s /= norms
-        s[ids == own[q]] = -np.inf
-        if keep < n:
-            limit = np.partition(s, n - keep)[n - keep]
-            above = np.flatnonzero(s > limit)
-            at = np.concatenate([above, np.flatnonzero(s == limit)[: keep - len(above)]])
-        else:
-            at = np.arange(n)
-        at = at[np.isfinite(s[at])]
-        found[q, : len(at)], scores[q, : len(at)] = ids[at], s[at]
-    return found, scores
+def approximate(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Approximate cosines of all queries and rows. tables: [queries, books, words]."""
+    out = np.empty((len(tables), len(codes)), np.float32)
+    for lo in range(0, len(codes), SCAN_ROWS):
+        part = codes[lo : lo + SCAN_ROWS].T.astype(np.intp)
+        s = tables[:, 0].take(part[0], axis=1)
+        for m in range(1, len(part)):
+            s += tables[:, m].take(part[m], axis=1)
+        out[:, lo : lo + SCAN_ROWS] = s / norms[lo : lo + SCAN_ROWS]
+    return out
+
+
+def best_of(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the `keep` best of these rows lie, and the other rows that tie with the last of them. ids must
+    ascend, so that the first of a tie are those of the smallest ids; -inf stands for no row."""
+    there = int((scores > -np.inf).sum())
+    if there <= keep:
+        return np.flatnonzero(scores > -np.inf), np.zeros(0, np.int64)
+    limit = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+    above, level = np.flatnonzero(scores > limit), np.flatnonzero(scores == limit)
+    return np.concatenate([above, level[: keep - len(above)]]), level[keep - len(above) :]
+
+
+def few_of_each(values: np.ndarray, most: int) -> np.ndarray:
+    """The places of the first `most` of each value."""
+    order = np.argsort(values, kind="stable")
+    begin = P.run_starts(values[order])
+    number = np.arange(len(values)) - np.repeat(begin, np.diff(begin, append=len(values)))
+    return np.sort(order[number < most])
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -150,80 +168,142 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v (doubles) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
+    """id and v (the vector) of the rows that take part."""
     limit = F.lit(float("inf"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == limit)) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (length["n"] if length else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine).groupBy("id").agg(F.min("v").alias("v"))
 
 
-_INDEX = "block int, ids binary, codes binary, norms binary"
-_FOUND = "query_block int, ids binary, found binary, scores binary, keep int"
+_INDEX = "grp int, ids binary, codes binary, norms binary, prints binary"
+_FOUND = "part int, grp int, ids binary, sizes binary, found binary, scores binary, query_id long, vec_id long, score float"
+_TIED = "query_id long, vec_id long, score float"
 
 
-def _encode(sent):
+def _encode(sent, groups: int):
+    """Packed index rows of a few thousand vectors each, dealt to the groups."""
     schema = P.arrow_schema(_INDEX)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        codes = sent.value.encode(_unit(_matrix(table.column("v"))))
-        norms = np.sqrt((sent.value.decode(codes) ** 2).sum(axis=1)).astype("<f4")
-        ids = table.column("id").to_numpy().astype("<i8")
-        row = {"block": [table.column("block")[0].as_py()], "ids": [ids.tobytes()], "codes": [codes.tobytes()], "norms": [np.maximum(norms, 1e-9).tobytes()]}
-        return pa.Table.from_batches([P.frames(schema, row)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in P.column_batches(batches):
+            ids = batch.column("id").to_numpy().astype("<i8")
+            codes = sent.value.encode(_unit(_matrix(batch.column("v"))))
+            norms = np.maximum(np.sqrt((sent.value.decode(codes) ** 2).sum(axis=1)), 1e-9).astype("<f4")
+            prints = batch.column("print").to_numpy().astype("<i8")
+            for lo in range(0, len(ids), INDEX_GROUP[0]):
+                part = slice(lo, lo + INDEX_GROUP[0])
+                grp = int(S.mix(ids[part][:1].view(np.uint64))[0] % np.uint64(groups))
+                yield P.frames(schema, {"grp": [grp], "ids": [ids[part].tobytes()], "codes": [codes[part].tobytes()], "norms": [norms[part].tobytes()], "prints": [prints[part].tobytes()]})
 
     return run
 
 
-def _tables(sent):
-    schema = P.arrow_schema("query_block int, queries binary, tables binary")
+def _found_rows(out: dict[str, list], part: int, grp: int, own: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """One packed row: for each query (`own`) its best ids and scores."""
+    none = dict.fromkeys(out)
+    packed = {"ids": own.astype("<i8"), "sizes": np.array([len(i) for i, _ in best], "<i4"), "found": np.concatenate([i for i, _ in best]).astype("<i8"), "scores": np.concatenate([s for _, s in best]).astype("<f4")}
+    for name, value in (none | {"part": part, "grp": grp} | {k: x.tobytes() for k, x in packed.items()}).items():
+        out[name].append(value)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        x = _unit(_matrix(table.column("v")))
-        products = np.einsum("mkd,qd->qmk", sent.value.books, x, optimize=True).astype("<f4")
-        row = {"query_block": [table.column("query_block")[0].as_py()], "queries": [table.column("id").to_numpy().astype("<i8").tobytes()], "tables": [products.tobytes()]}
-        return pa.Table.from_batches([P.frames(schema, row)])
 
-    return run
+def _tied_rows(out: dict[str, list], query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+    for name in out:
+        out[name] += {"query_id": [query] * len(ids), "vec_id": ids.tolist(), "score": scores.tolist()}.get(name) or [None] * len(ids)
 
 
-def _search(keep: int):
+def _search(sent, keep: int, k: int):
+    """The best rows of an index group for each query of a block."""
     schema = P.arrow_schema(_FOUND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in P.column_batches(batches):
-            for r in batch.to_pylist():
-                own, ids = np.frombuffer(r["queries"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                tables = np.frombuffer(r["tables"], "<f4").reshape(len(own), codes.shape[1], -1)
-                found, scores = best_of_block(tables, own, ids, codes, np.frombuffer(r["norms"], "<f4"), keep)
-                row = {"query_block": [r["query_block"]], "ids": [r["queries"]], "found": [found.tobytes()], "scores": [scores.tobytes()], "keep": [found.shape[1]]}
-                yield P.frames(schema, row)
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        out: dict[str, list] = {name: [] for name in schema.names}
+        if index.num_rows and queries.num_rows:
+            ids, norms, prints = (np.concatenate([np.frombuffer(x, t) for x in index.column(c).to_pylist()]) for c, t in (("ids", "<i8"), ("norms", "<f4"), ("prints", "<i8")))
+            codes = np.concatenate([np.frombuffer(x, np.uint8) for x in index.column("codes").to_pylist()]).reshape(len(ids), -1)
+            order = np.argsort(ids)
+            ids, norms, prints, codes = ids[order], norms[order], prints[order], codes[order]
+            queries = queries.sort_by([("part", "ascending"), ("id", "ascending")])
+            own, parts, x = queries.column("id").to_numpy(), queries.column("part").to_numpy(), _unit(_matrix(queries.column("v")))
+            cuts = [*P.run_starts(parts).tolist(), len(parts)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                best = []
+                for lo in range(a, z, SCAN_QUERIES):
+                    some = slice(lo, min(lo + SCAN_QUERIES, z))
+                    tables = np.einsum("mkd,qd->qmk", sent.value.books, x[some], optimize=True).astype(np.float32)
+                    for query, scores in zip(own[some].tolist(), approximate(tables, codes, norms), strict=True):
+                        scores[ids == query] = -np.inf
+                        at, tied = best_of(ids, scores, keep)
+                        best.append((ids[at], scores[at]))
+                        tied = tied[few_of_each(prints[tied], k + 1)]
+                        _tied_rows(out, query, ids[tied], scores[tied])
+                _found_rows(out, int(parts[a]), index.column("grp")[0].as_py(), own[a:z], best)
+        return pa.Table.from_batches([P.frames(schema, out)])
 
     return run
 
 
 def _merge(keep: int):
-    schema = P.arrow_schema("query_id long, vec_id long")
+    """The best of several units for the queries of one part."""
+    schema = P.arrow_schema(_FOUND)
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         own = np.frombuffer(rows[0]["ids"], "<i8")
-        found = np.concatenate([np.frombuffer(r["found"], "<i8").reshape(len(own), r["keep"]) for r in rows], axis=1)
-        scores = np.concatenate([np.frombuffer(r["scores"], "<f4").reshape(len(own), r["keep"]) for r in rows], axis=1)
-        order = np.lexsort((found, -scores), axis=1)[:, :keep]
-        best = np.take_along_axis(found, order, axis=1)
-        q = np.repeat(own, best.shape[1])
-        there = best.ravel() >= 0
-        there &= np.isfinite(np.take_along_axis(scores, order, axis=1)).ravel()
-        return pa.Table.from_arrays([pa.array(q[there]), pa.array(best.ravel()[there])], schema=schema)
+        cuts = [np.concatenate(([0], np.cumsum(np.frombuffer(r["sizes"], "<i4")))) for r in rows]
+        ids, scores = ([np.frombuffer(r[c], t) for r in rows] for c, t in (("found", "<i8"), ("scores", "<f4")))
+        out: dict[str, list] = {name: [] for name in schema.names}
+        best = []
+        for q, query in enumerate(own.tolist()):
+            i, s = (np.concatenate([x[c[q] : c[q + 1]] for x, c in zip(of, cuts, strict=True)]) for of in (ids, scores))
+            order = np.argsort(i)
+            i, s = i[order], s[order]
+            at, tied = best_of(i, s, keep)
+            best.append((i[at], s[at]))
+            _tied_rows(out, query, i[tied], s[tied])
+        _found_rows(out, rows[0]["part"], rows[0]["grp"], own, best)
+        return pa.Table.from_batches([P.frames(schema, out)])
 
     return run
 
 
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that a merged part stands for."""
+    for batch in P.column_batches(batches):
+        for r in batch.to_pylist():
+            own, sizes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sizes"], "<i4")
+            columns = [np.repeat(own, sizes), np.frombuffer(r["found"], "<i8"), np.frombuffer(r["scores"], "<f4")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=P.arrow_schema(_TIED))
+
+
+def _shortlists(rows: DataFrame, queries: DataFrame, k: int, rerank: int, sample: int, books: int) -> DataFrame:
+    """query_id and vec_id of the candidates, from rows (id, v) and queries of them, all of one length."""
+    spark = rows.sparkSession
+    total, asked = rows.count(), queries.count()
+    pick = F.pmod(F.xxhash64(F.lit(17), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    taken = rows.where(pick < min(1.0, sample / total)).orderBy("id").select("v").toArrow()
+    taken = taken if taken.num_rows else rows.orderBy("id").limit(1).select("v").toArrow()
+    sent = spark.sparkContext.broadcast(AdditiveQuantiser(_unit(_matrix(taken.column("v"))), books))
+    size = lambda n, bounds: min(max(-(-n // PARTS), bounds[0]), bounds[1])
+    groups, blocks, parts = -(-total // size(total, INDEX_GROUP)), -(-asked // size(asked, QUERY_BLOCK)), -(-asked // SCAN_QUERIES)
+    index = P.durable(rows.withColumn("print", F.xxhash64("v")).mapInArrow(_encode(sent, groups), _INDEX))
+    part = F.pmod(F.xxhash64(F.lit(19), F.col("id")), F.lit(parts)).cast("int")
+    dealt = queries.withColumn("part", part).withColumn("block", F.col("part") % blocks)
+    # every pair of a query block and an index group is one unit
+    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = dealt.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = P.durable(left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(_search(sent, rerank, k), _FOUND))
+    tied = found.where("query_id IS NOT NULL")
+    best = found.where("query_id IS NULL")
+    while groups > 1:
+        groups = -(-groups // MERGE)
+        merged = P.durable(best.withColumn("grp", F.col("grp") % groups).groupBy("part", "grp").applyInArrow(_merge(rerank), _FOUND))
+        tied, best = tied.unionByName(merged.where("query_id IS NOT NULL")), merged.where("query_id IS NULL")
+    near = best.mapInArrow(_candidates, _TIED)
+    limits = near.groupBy("query_id").agg(F.min("score").alias("limit"))
+    more = tied.select("query_id", "vec_id", "score").join(limits, "query_id").where("score = limit")
+    return near.select("query_id", "vec_id").unionByName(more.select("query_id", "vec_id"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK, sample: int = SAMPLE, books: int = BOOKS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (exact cosine) of the k nearest of each query.
 
@@ -231,35 +311,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, rerank: int = RERA
     spark = vectors.sparkSession
     rows = P.durable(usable(vectors, key, vector))
     queries = rows.withColumnRenamed("id", key).where(is_query).withColumnRenamed(key, "id")
-    total, asked = rows.count(), queries.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not total or not asked:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", "))])
-    pick = F.pmod(F.xxhash64(F.lit(17), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(pick < min(1.0, sample / total)).orderBy("id").select("v").toArrow()
-    x = _unit(_matrix(taken.column("v"))) if taken.num_rows else _unit(_matrix(rows.orderBy("id").limit(1).select("v").toArrow().column("v")))
-    sent = spark.sparkContext.broadcast(AdditiveQuantiser(x, books))
-    blocks, query_blocks = -(-total // INDEX_BLOCK), -(-asked // QUERY_BLOCK)
-    block = lambda n: F.pmod(F.xxhash64(F.lit(19), F.col("id")), F.lit(n)).cast("int")
-    index = rows.withColumn("block", block(blocks)).groupBy("block").applyInArrow(_encode(sent), _INDEX)
-    tables = queries.withColumn("query_block", block(query_blocks)).groupBy("query_block").applyInArrow(_tables(sent), "query_block int, queries binary, tables binary")
-    # every pair of blocks is one unit with a key of its own
-    left = P.durable(index).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = P.durable(tables).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.join(right.hint("shuffle_hash"), ["block", "query_block"]).mapInArrow(_search(rerank), _FOUND)
-    near = found.groupBy("query_block").applyInArrow(_merge(rerank), "query_id long, vec_id long")
+    near = spark.createDataFrame([], "query_id long, vec_id long")
+    for r in sorted(queries.select(F.size("v").alias("n")).distinct().collect()):
+        same = F.size("v") == r.n
+        near = near.unionByName(_shortlists(rows.where(same), queries.where(same), k, rerank, sample, books))
     return exact_best(near, rows, k)
 
 
 def exact_best(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The k best of the pairs of each query by the exact cosine, ties to the smaller id."""
     add = lambda v, f: F.aggregate(v, F.lit(0.0), f)
-    largest = F.array_max(F.transform("v", F.abs))
-    scaled = rows.select("id", F.transform("v", lambda x: x / largest).alias("v"))  # so that no square overflows
-    scaled = scaled.select("id", "v", F.sqrt(add(F.col("v"), lambda a, x: a + x * x)).alias("norm"))
-    a = scaled.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"))
-    b = scaled.select(F.col("id").alias("vec_id"), "v", "norm")
-    dot = add(F.zip_with("qv", "v", lambda x, y: x * y), lambda s, x: s + x)
-    scored = pairs.join(b, "vec_id").join(a, "query_id").select("query_id", "vec_id", (dot / (F.col("qn") * F.col("norm"))).alias("score"))
+    # scaled by a power of two, which changes no cosine, so that no square overflows or vanishes
+    scale = F.pow(F.lit(2.0), -F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))))
+    doubles = lambda v, s: F.transform(v, lambda x: x.cast("double") * s)
+    measured = rows.select("id", "v", scale.alias("scale"))
+    measured = measured.withColumn("norm", F.sqrt(add(doubles("v", F.col("scale")), lambda a, x: a + x * x)))
+    a = measured.select(F.col("id").alias("query_id"), F.col("v").alias("qv"), F.col("scale").alias("qs"), F.col("norm").alias("qn"))
+    b = measured.select(F.col("id").alias("vec_id"), "v", "scale", "norm")
+    products = F.zip_with("qv", "v", lambda x, y: (x.cast("double") * F.col("qs")) * (y.cast("double") * F.col("scale")))
+    met = pairs.join(a, "query_id").join(b, "vec_id")
+    scored = met.select("query_id", "vec_id", (add(products, lambda s, x: s + x) / (F.col("qn") * F.col("norm"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
