@@ -1,14 +1,24 @@
-"""Tokens, the inverted index and tier-1 retrieval, as plans over many queries at once."""
+"""Tokens, the inverted index and tier-1 retrieval, as plans over many queries at once.
+
+An index is built and written once. Retrieval meets blocks of queries with blocks of documents: a block of
+documents holds their usable tokens as packed 64-bit hashes, so a task adds up the masses of a query in
+arrays, without a row for each shared token, and returns only its best documents. A token of up to a quarter of
+all documents costs its entries in each block, and no task holds more than one block of either side."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import config as C
+from tessella.checkpoints import durable
 from tessella.functions.geometry import cells, size_bucket
 from tessella.functions.text import norm_label
 
+DOC_BLOCK, QUERY_BLOCK = 4096, 256
+
 
 def _token(*parts: Column | str) -> Column:
     return F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -68,16 +78,51 @@ def usable_tokens(stats: DataFrame, n_docs: int) -> DataFrame:
     return out.where(F.col("df") <= int(C.MAX_DF_FRACTION * n_docs)) if n_docs >= C.DF_MIN_DOCS else out
 
 
-def tier1(query_tokens: DataFrame, tokens: DataFrame, stats: DataFrame, norms: DataFrame, n_docs: int) -> DataFrame:
-    """qid, doc, mass and score of every document that shares a usable token with a query.
-
-    query_tokens: qid, token. The common-token cut bounds the rows a token can make."""
-    asked = query_tokens.join(usable_tokens(stats, n_docs), "token")
-    q_mass = asked.groupBy("qid").agg(F.sum("idf").alias("q_mass"))
-    mass = asked.join(tokens, "token").groupBy("qid", "doc").agg(F.sum("idf").alias("mass"))
-    out = mass.join(norms, "doc").join(q_mass, "qid")
-    score = F.least(F.col("mass") / (F.sqrt("norm") * F.sqrt("q_mass")), F.lit(1.0))
-    return out.select("qid", "doc", "mass", F.round(score, 9).alias("score"))
+def _masses(starts: np.ndarray, docs: np.ndarray, asked: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """The summed idf of the asked tokens that each of n documents has. docs: the documents of each token,
+    from starts[token] on."""
+    lengths = starts[asked + 1] - starts[asked]
+    first = np.repeat(starts[asked] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
+    return np.bincount(docs[first + np.arange(len(first))], np.repeat(idf, lengths), n)
+
+
+_SCORED = "qid {kind}, doc long, mass double, score double"
+
+
+def _score_block(most: int | None):
+    """The scores of a block of queries over a block of documents; with `most`, the best of each query only."""
+
+    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        parts: dict[str, list] = {"query": [], "doc": [], "mass": [], "score": []}
+        queries = queries.combine_chunks()
+        if docs.num_rows and queries.num_rows:
+            docs = docs.sort_by("doc").combine_chunks()
+            ids, norm = docs.column("doc").to_numpy(), docs.column("norm").to_numpy()
+            held, asked = (t.column("tokens").combine_chunks() for t in (docs, queries))
+            bounds, wanted = asked.offsets.to_numpy(), asked.flatten().to_numpy()
+            idf = queries.column("idfs").combine_chunks().flatten().to_numpy()
+            vocabulary, wanted = np.unique(wanted, return_inverse=True)
+            flat, own = held.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(held.offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+            met = vocabulary[at] == flat
+            at, own = at[met], own[met]
+            order = np.argsort(at, kind="stable")
+            starts, own = np.searchsorted(at[order], np.arange(len(vocabulary) + 1)), own[order]
+            for k, q_mass in enumerate(queries.column("q_mass").to_pylist()):
+                part = slice(bounds[k] - bounds[0], bounds[k + 1] - bounds[0])
+                mass = _masses(starts, own, wanted[part], idf[part], len(ids))
+                found = np.flatnonzero(mass)
+                score = np.round(np.minimum(mass[found] / (np.sqrt(norm[found]) * np.sqrt(q_mass)), 1.0), 9)
+                if most is not None and len(found) > most:
+                    best = np.lexsort((found, -score))[:most]
+                    found, score = found[best], score[best]
+                for name, x in (("query", np.full(len(found), k)), ("doc", ids[found]), ("mass", mass[found]), ("score", score)):
+                    parts[name].append(x)
+        joined = {k: np.concatenate(x) if x else np.zeros(0, "float64" if k in ("mass", "score") else "int64") for k, x in parts.items()}
+        columns = [queries.column("qid").take(pa.array(joined.pop("query")))] + [pa.array(x) for x in joined.values()]
+        return pa.Table.from_arrays(columns, names=["qid", *joined])
+
+    return run
 
 
 def top_records(scored: DataFrame, docs: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
@@ -99,15 +144,36 @@ def index_documents(buttons: DataFrame, ambiguous: Column) -> DataFrame:
 
 
 class TokenIndex:
-    """Tables of an index: docs, tokens (postings), stats and norms."""
+    """Tables of an index, written when it is made: tokens (postings), stats, norms, docs, and packed, the usable
+    tokens of each document in one row."""
 
     def __init__(self, buttons: DataFrame, ambiguous: Column) -> None:
-        placed = index_documents(buttons, ambiguous)
-        self.docs = placed.select("doc", "rid", "flipped").distinct()
-        self.tokens = grid_tokens(placed, "doc")
+        self.tokens = durable(grid_tokens(index_documents(buttons, ambiguous), "doc"))
+        doc = F.col("doc")  # every button has a token, so no document is missing
+        self.docs = self.tokens.select("doc").distinct().select("doc", F.expr("doc div 2").cast(buttons.schema["rid"].dataType).alias("rid"), (doc % 2 == 1).alias("flipped"))
         self.n_docs = self.docs.count()
-        self.stats = token_stats(self.tokens, self.n_docs)
-        self.norms = doc_norms(self.tokens, self.stats)
+        self.stats = durable(token_stats(self.tokens, self.n_docs))
+        self.norms = durable(doc_norms(self.tokens, self.stats))
+        held = self.tokens.join(self.usable().select("token"), "token").groupBy("doc").agg(F.collect_list(F.xxhash64("token")).alias("tokens"))
+        self.packed = durable(held.join(self.norms, "doc").select("doc", "norm", "tokens"))
+
+    def usable(self) -> DataFrame:
+        return usable_tokens(self.stats, self.n_docs)
+
+    def scores(self, query_tokens: DataFrame, most: int | None = None) -> DataFrame:
+        """qid, doc, mass and score of every document that shares a usable token with a query; with `most`, at
+        least the best `most` documents of each query (score descending, then doc).
+
+        query_tokens: qid, token."""
+        asked = query_tokens.join(self.usable(), "token").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "idf"))).alias("a"), F.sum("idf").alias("q_mass"))
+        asked = durable(asked.select("qid", "q_mass", F.col("a.t").alias("tokens"), F.col("a.idf").alias("idfs")))
+        docs, queries = max(1, -(-self.n_docs // DOC_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+        block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = self.packed.withColumns({"db": block("doc", docs), "qb": every(queries)})
+        right = asked.withColumns({"qb": block("qid", queries), "db": every(docs)})
+        schema = _SCORED.format(kind=asked.schema["qid"].dataType.simpleString())
+        return left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInArrow(_score_block(most), schema)
 
     def retrieve(self, query_tokens: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
-        return top_records(tier1(query_tokens, self.tokens, self.stats, self.norms, self.n_docs), self.docs, top_n)
+        return top_records(self.scores(query_tokens, 2 * top_n), self.docs, top_n)

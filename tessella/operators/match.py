@@ -14,6 +14,27 @@ def code_hits(queries: DataFrame, records: DataFrame) -> DataFrame:
     return queries.where("code IS NOT NULL").select("qid", "code").join(records.where("code IS NOT NULL").select("rid", "code"), "code").select("qid", "rid")
 
 
+def _deletions(code: Column, most: int) -> Column:
+    """The texts that up to `most` deletions make of code, code among them."""
+    out = level = F.array(code)
+    for _ in range(most):
+        cut = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        level = F.array_distinct(F.flatten(F.transform(level, cut)))
+        out = F.array_union(out, level)
+    return out
+
+
+def fuzzy_codes(left: DataFrame, right: DataFrame, most: int = C.CODE_DISTANCE) -> DataFrame:
+    """code, near and edits of all pairs of distinct codes within `most` edits.
+
+    Two such codes have a text in common that `most` deletions at most make of each, so an equi-join on these
+    finds every pair; both tables have a column `code`."""
+    a = left.where("code IS NOT NULL").select("code").distinct().withColumn("cut", F.explode(_deletions(F.col("code"), most)))
+    b = right.where("code IS NOT NULL").select(F.col("code").alias("near")).distinct().withColumn("cut", F.explode(_deletions(F.col("near"), most)))
+    met = a.join(b, "cut").select("code", "near").distinct()
+    return met.withColumn("edits", F.levenshtein("code", "near", most)).where("edits >= 0")
+
+
 def with_code_hits(hits: DataFrame, coded: DataFrame) -> DataFrame:
     """Retrieved records and code hits: qid, rid, score (0 if only the code was found) and by_code."""
     both = hits.select("qid", "rid", "score", F.lit(False).alias("by_code")).unionByName(coded.select("qid", "rid", F.lit(0.0).alias("score"), F.lit(True).alias("by_code")))

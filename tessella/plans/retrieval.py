@@ -86,8 +86,15 @@ FUSED = ("buttons", "records", "queries", *INDEX[1:], *SCORED[len(INDEX) :], "hi
 ANSWERS = (*FUSED, "answers")
 
 
+_indexes: dict[tuple[str, str], I.TokenIndex] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> I.TokenIndex:
-    return I.TokenIndex(buttons(spark, sf_dir), F.col("rid") % 7 == 0)
+    """The index of the records, built once for each session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = I.TokenIndex(buttons(spark, sf_dir), F.col("rid") % 7 == 0)
+    return _indexes[key]
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +106,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[I.TokenIndex, DataFrame]:
     found = index(spark, sf_dir)
-    return found, I.tier1(I.grid_tokens(asked(spark, sf_dir), "qid"), found.tokens, found.stats, found.norms, found.n_docs)
+    return found, found.scores(I.grid_tokens(asked(spark, sf_dir), "qid"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, rows = scored(spark, sf_dir)
-    return I.top_records(rows, found.docs)
+    return index(spark, sf_dir).retrieve(I.grid_tokens(asked(spark, sf_dir), "qid"))
 
 
 def queries_of(rows: DataFrame) -> DataFrame:
@@ -239,14 +245,11 @@ def c6_code_fast_path(spark, sf):
 
 @query(
     with_("buttons", "records", "queries")
-    + "SELECT a.code, b.code AS near, CAST(levenshtein(a.code, b.code) AS INTEGER) AS edits FROM (SELECT DISTINCT code FROM queries) a JOIN (SELECT DISTINCT code FROM records) b ON substr(a.code, 1, 3) = substr(b.code, 1, 3) AND levenshtein(a.code, b.code) <= 2"
+    + "SELECT a.code, b.code AS near, CAST(levenshtein(a.code, b.code) AS INTEGER) AS edits FROM (SELECT DISTINCT code FROM queries) a JOIN (SELECT DISTINCT code FROM records) b ON levenshtein(a.code, b.code) <= 2"
 )
 def c7_fuzzy_code(spark, sf):
     rows = records(spark, sf)
-    a = queries_of(rows).select("code").distinct().withColumn("head", F.substring("code", 1, 3))
-    b = rows.select(F.col("code").alias("near")).distinct().withColumn("head", F.substring("near", 1, 3))
-    edits = F.levenshtein("code", "near", C.CODE_DISTANCE)
-    return a.join(b, "head").withColumn("edits", edits).where("edits >= 0").select("code", "near", "edits")
+    return M.fuzzy_codes(queries_of(rows).select("code"), rows.select("code"))
 
 
 @query(with_(*HITS, "records") + "SELECT qid, rid, rk, brand, code, n_buttons FROM hits JOIN records USING (rid) WHERE rk <= 5 AND n_buttons > 20")

@@ -88,6 +88,56 @@ def test_self_retrieval_and_exclusions(spark):
     assert hits.where("score > 1").count() == 0
 
 
+def test_scores_by_blocks_equal_a_plain_sum(spark, monkeypatch):
+    """Also for a token that a third of all documents have, and for one that all have."""
+    rng = random.Random(8)
+    rows = [(r, *b) for r in range(300) for b in boxes(rng, rng.randrange(1, 12))]
+    b = spark.createDataFrame(rows, "rid long, " + BOX).withColumn("label", F.when(F.col("rid") % 3 == 0, "hot").otherwise(F.col("label")))
+    monkeypatch.setattr(I, "DOC_BLOCK", 40)
+    monkeypatch.setattr(I, "QUERY_BLOCK", 30)
+    index = I.TokenIndex(b, F.col("rid") % 7 == 0)
+    asked = I.grid_tokens(b.where("rid % 4 = 1 OR rid % 9 = 0").withColumnRenamed("rid", "qid"), "qid")
+    idf = {r.token: r.idf for r in index.usable().collect()}
+    norm = {r.doc: r.norm for r in index.norms.collect()}
+    docs, queries = {}, {}
+    for to, df in ((docs, index.tokens), (queries, asked)):
+        for key, token in df.collect():
+            to.setdefault(key, set()).add(token)
+    assert set(docs) == {r.doc for r in index.docs.collect()} and len(docs) == index.n_docs
+    want = {}
+    for q, tokens in queries.items():
+        q_mass = sum(idf[t] for t in tokens if t in idf)
+        for d, held in docs.items():
+            if shared := [idf[t] for t in tokens & held if t in idf]:
+                want[q, d] = round(min(sum(shared) / (norm[d] ** 0.5 * q_mass**0.5), 1.0), 9)
+    got = {(r.qid, r.doc): r.score for r in index.scores(asked).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+    for r in index.scores(asked, 5).collect():
+        assert got.pop((r.qid, r.doc)) == r.score
+    for q in queries:
+        rest = [s for (a, _), s in got.items() if a == q]
+        kept = sorted((s for (a, _), s in want.items() if a == q), reverse=True)[:5]
+        assert not rest or len(kept) < 5 or max(rest) <= kept[-1] + 2e-9
+    assert index.scores(asked.limit(0)).count() == 0
+
+
+def test_fuzzy_codes_find_every_pair_within_two_edits(spark):
+    rng = random.Random(9)
+    codes = sorted({"".join(rng.choice("AB12") for _ in range(rng.randrange(1, 6))) for _ in range(80)} | {"RM150", "RM250", "150", ""})
+    df = spark.createDataFrame([(c,) for c in codes] + [(None,), ("RM150",)], "code string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = sorted((a, b, edits(a, b)) for a in codes for b in codes if edits(a, b) <= 2)
+    assert sorted(tuple(r) for r in M.fuzzy_codes(df, df).collect()) == want
+
+
 def test_prefilter_keeps_code_hits_and_m(spark):
     rows = [(1, k, 1.0 - k / 100, k == 39) for k in range(40)]
     c = spark.createDataFrame(rows, "qid int, rid int, score double, by_code boolean")
