@@ -2,26 +2,32 @@
 
 Tokens are the words of a text with A-Z lower-cased, then one end token. The model smooths with
 a Dirichlet prior: p(w) = (c(w) + 1) / (N + V + 1) and, for every longer context h with h' its
-suffix, p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k). As an automaton: the known contexts are
-states; a seen n-gram hw is an arc with weight log10 p(w | h) from h to the longest suffix of hw
-that is a state; a failure arc with weight log10(k / (c(h) + k)) leads from h to h'. A token is
-scored by its arc where there is one, else by failure arcs until there is. The state before a token
-hangs on the order - 1 tokens before it alone, so all places of a batch are looked up at once, level
-by level, and no state is carried from token to token.
+suffix, p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k). As an automaton: the contexts of training
+texts are states; a seen n-gram hw is an arc with weight log10 p(w | h) from h to the longest suffix
+of hw that is a state; a failure arc with weight log10(k / (c(h) + k)) leads from h to h'. A text is
+scored by one pass from left to right: its state takes the arc of the next token if there is one,
+else failure arcs until there is, and the weights on the way add up.
 
 The counts cover all training texts and grow with them, so nothing is pruned and no table is
 broadcast. The texts are dealt into batches of about BATCH_BYTES by a hash. A batch asks for its
 own distinct n-grams: one packed row for each hash bucket, with the hashes and the counts that
 the batch's training texts add. A bucket sums up the counts and answers each batch in the order
 of its question, so an answer is one small number an n-gram. With the answers, a batch builds
-the part of the automaton that its texts can reach and traverses it. A word that stands in
-every text costs one entry a batch. The text is shuffled once (both uses share the exchange).
+the part of the automaton that its texts can reach and traverses it, all texts side by side. A word
+that stands in every text costs one entry a batch. The text is shuffled once (both uses share the
+exchange).
+
+Texts of more than SEGMENT tokens are traversed in segments: a state hangs on the order - 1 tokens
+before it alone, so a segment that first reads these from the empty context is in the state that
+the whole text would be in.
 
 The registered query takes order 3; other orders work too (`order`).
 
 Edge cases: null and empty texts are the end token alone. Without training texts N = V = 0 and
-every token has probability 1 in p(w). Repeated rows score alike; a null key is kept. N-grams
-are told apart by 64-bit hashes (56 bits and the bucket on the way).
+every token has probability 1 in p(w). Repeated rows score alike; a null key is kept; very long texts
+are one batch with others or alone, read whole. An empty table gives an empty result. Columns of docs
+other than the key and the text are read by `learn` only, whatever their names. N-grams are told apart
+by HASH_BITS bits of a hash within their bucket of about BUCKET_WORDS.
 """
 
 from __future__ import annotations
@@ -38,10 +44,12 @@ from . import textscan as S
 
 ORDER = 3
 STRENGTH = 200.0
-BATCH_BYTES = 20 << 20
+BATCH_BYTES = 16 << 20
 BUCKET_WORDS = 1_000_000
 FLUSH_WORDS = 2_000_000
 PIECE_BYTES = 1 << 20
+HASH_BITS = 48
+SEGMENT = 512
 END, BEGIN = np.uint64(0x1D2B4E6F9A8C7031), np.uint64(0x7F3C9E51B2D4A687)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -68,41 +76,43 @@ def token_hashes(column: pa.Array, begin: bool) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))) if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
 
 
-def _bucket_slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets (equal slices of the hash space) in sorted keys."""
-    return P.bucket_cuts(((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), buckets)
-
+class Buckets:
+    """Equal slices of the hash space, 2**log2 of them; a key is a bucket and HASH_BITS bits within it."""
 
-def _low_bytes(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    def __init__(self, least: int) -> None:
+        self.log2 = max(0, least - 1).bit_length()
+        self.bits = min(HASH_BITS, 63 - self.log2)
 
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.log2 - self.bits)
 
-def _from_low_bytes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
+    def packed(self, keys: np.ndarray) -> Iterator[tuple[int, slice, bytes]]:
+        """Each bucket that sorted keys fall into, where they lie and what is left of them, packed."""
+        cuts = np.searchsorted(keys >> np.uint64(self.bits), np.arange((1 << self.log2) + 1, dtype=np.uint64))
+        mask = np.uint64((1 << self.bits) - 1)
+        for b in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[b], cuts[b + 1])
+            yield int(b), part, P.pack_sorted(keys[part] & mask, self.bits)
 
 
-def corpus_size(texts: DataFrame, buckets: int) -> tuple[int, int]:
+def corpus_size(texts: DataFrame, buckets: Buckets) -> tuple[int, int]:
     """Tokens (N) and distinct tokens (V) of the texts in the column `text`."""
+    schema = P.arrow_schema("bucket int, n long, hashes binary")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         held, size, tokens = [], 0, 0
 
         def rows() -> pa.RecordBatch:
-            keys = P.sorted_distinct(np.concatenate(held))
-            cuts = _bucket_slices(keys, buckets)
-            out = {"bucket": [], "n": [], "hashes": []}
-            for k, b in enumerate(np.flatnonzero(np.diff(cuts))):
-                out["bucket"].append(int(b))
-                out["n"].append(0 if k else tokens)
-                out["hashes"].append(_low_bytes(keys[cuts[b] : cuts[b + 1]]))
-            return P.frames(P.arrow_schema("bucket int, n long, hashes binary"), out)
+            out: dict[str, list] = {k: [] for k in schema.names}
+            for k, (b, _, packed) in enumerate(buckets.packed(P.sorted_distinct(np.concatenate(held)))):
+                for name, value in zip(schema.names, (b, 0 if k else tokens, packed), strict=True):
+                    out[name].append(value)
+            return P.frames(schema, out)
 
         for batch in P.column_batches(batches):
             hashes, _ = token_hashes(batch.column(0), False)
-            held.append(P.sorted_distinct(hashes))
+            held.append(P.sorted_distinct(buckets.keys(hashes)))
             size += len(held[-1])
             tokens += len(hashes)
             if size >= FLUSH_WORDS:
@@ -112,7 +122,7 @@ def corpus_size(texts: DataFrame, buckets: int) -> tuple[int, int]:
             yield rows()
 
     def distinct(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_from_low_bytes(x) for x in table.column("hashes").to_pylist()])
+        keys = np.concatenate([P.unpack_sorted(x) for x in table.column("hashes").to_pylist()])
         return pa.table({"n": [sum(table.column("n").to_pylist())], "v": [len(P.sorted_distinct(keys))]})
 
     asked = texts.select("text").mapInArrow(ask, "bucket int, n long, hashes binary")
@@ -120,88 +130,150 @@ def corpus_size(texts: DataFrame, buckets: int) -> tuple[int, int]:
     return int(r[0] or 0), int(r[1] or 0)
 
 
-class Batch:
-    """The n-grams of a run of texts. Keys carry no mark of their order: the hashes differ."""
+def merged_order(levels: list[np.ndarray], buckets: Buckets) -> np.ndarray:
+    """The order that sorts the keys of all levels, end to end; the same for the question and its answer."""
+    return P.sorting_order(np.concatenate(levels), buckets.log2 + buckets.bits)
+
+
+def question(column: pa.Array, train: np.ndarray, order: int, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the n-grams of each level, sorted, and how often the training texts have each."""
+    tokens, ptr = token_hashes(column, True)
+    held = np.repeat(~train, np.diff(ptr)).astype(np.uint64)
+    levels, counts = [], []
+    for n in range(1, order + 1):
+        hashes, at = (tokens, np.arange(len(tokens))) if n == 1 else S.window_hashes(tokens, ptr, n)
+        marked = np.sort((buckets.keys(hashes) << np.uint64(1)) | held[at])
+        keys = marked >> np.uint64(1)
+        begin = P.run_starts(keys)
+        levels.append(keys[begin])
+        counts.append(np.add.reduceat((marked & np.uint64(1)) == 0, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64))
+    by = merged_order(levels, buckets)
+    return np.concatenate(levels)[by], np.concatenate(counts)[by]
 
-    def __init__(self, column: pa.Array, order: int) -> None:
+
+class Grams:
+    """The distinct n-grams of a run of texts, level by level: `at[n - 1]` has for each token the number of the
+    n-gram that ends there (-1 where the text has fewer tokens), `last[n - 1]` a token that each ends at."""
+
+    def __init__(self, column: pa.Array, order: int, buckets: Buckets) -> None:
         tokens, self.ptr = token_hashes(column, True)
-        self.order = order
-        self.levels = []  # hashes of the n-grams and the token each ends at
+        self.buckets, self.keys, self.at, self.last = buckets, [], [], []
         for n in range(1, order + 1):
-            hashes, at = (tokens, np.arange(len(tokens))) if n == 1 else S.window_hashes(tokens, self.ptr, n)
-            self.levels.append((hashes & ~np.uint64(1), at + n - 1))
-
-    def question(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes and how often the training texts of the batch have each."""
-        held = np.repeat(~train, np.diff(self.ptr)).astype(np.uint64)
-        keys = np.sort(np.concatenate([h | held[at] for h, at in self.levels]))
-        begin = P.run_starts(keys >> np.uint64(1))
-        counts = np.add.reduceat((keys & np.uint64(1)) == 0, begin, dtype=np.int64)
-        return keys[begin] & ~np.uint64(1), counts
-
-    def answered(self, counts: np.ndarray) -> list[np.ndarray]:
-        """Counts in the order of the question, dealt to the n-grams of each level, by their last token."""
-        keys = np.concatenate([h for h, _ in self.levels])
-        order = np.argsort(keys)
-        begin = P.run_starts(keys[order])
-        dealt = np.empty(len(keys), np.int64)
-        dealt[order] = np.repeat(counts, np.diff(begin, append=len(keys)))
-        out, first = [], 0
-        for hashes, at in self.levels:
-            level = np.zeros(self.ptr[-1], np.int64)
-            level[at] = dealt[first : first + len(hashes)]
-            out.append(level)
-            first += len(hashes)
-        return out
+            keys, first = (tokens, np.arange(len(tokens))) if n == 1 else S.window_hashes(tokens, self.ptr, n)
+            keys = buckets.keys(keys)
+            by = P.sorting_order(keys, buckets.log2 + buckets.bits)
+            keys, ends = keys[by], (first[by] + n - 1).astype(np.int32)
+            del by, first
+            begin = P.run_starts(keys)
+            at = np.full(len(tokens), -1, np.int32)
+            at[ends] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(begin, append=len(keys)))
+            self.keys.append(keys[begin])
+            self.at.append(at)
+            self.last.append(ends[begin])
+
+    def dealt(self, answer: np.ndarray) -> list[np.ndarray]:
+        """Counts in the order of the question, by level."""
+        out = np.empty(len(answer), np.int64)
+        out[merged_order(self.keys, self.buckets)] = answer
+        return np.split(out, np.cumsum([len(k) for k in self.keys])[:-1])
 
 
 class BackoffAutomaton:
-    """The states that the texts of a batch can reach, by the token that leads to them: a text is in the
-    state of the longest context that exists, whatever way led there.
+    """The part of the automaton that the texts of a batch can reach.
 
-    State (n, t) is the context of the n tokens that end at token t; it exists if its count is
-    positive. arcs[n][t] is the weight of the arc for token t out of the context of n tokens
-    before it (nan: no such arc), failures[n][t] the weight of that context's failure arc.
+    State 0 is the empty context; each state has the tokens of its context (`depth`), the state that its
+    failure arc leads to and that arc's weight (`failure`, `backoff`). Arcs have a weight and the state
+    they lead to. `fits[n]` has for every token of the batch the arc with that token out of the
+    context of the n tokens before it, -1 if there is none; so the arc of a state and the next token is
+    found in one step. `starts` has the state behind each text's begin mark.
     """
 
-    def __init__(self, counts: list[np.ndarray], ptr: np.ndarray, total: int, distinct: int, strength: float) -> None:
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, strength: float) -> None:
+        order = self.order = len(counts)
+        self.unseen = -np.log10(total + distinct + 1.0)
+        numbers, sizes = [], [1]  # the states: the empty context, then the contexts of one token, of two, ..
+        for c in counts[: order - 1]:
+            numbers.append(np.where(c > 0, sum(sizes) + np.cumsum(c > 0) - 1, -1).astype(np.int32))
+            sizes.append(int((c > 0).sum()))
+        self.depth = np.repeat(np.arange(order, dtype=np.int8), sizes)
+        self.failure, self.backoff = np.zeros(len(self.depth), np.int32), np.zeros(len(self.depth))
+        self.fits = np.empty((order, len(grams.at[0])), np.int32)
+        weights, targets, arcs = [], [], 0
         p = (counts[0] + 1.0) / (total + distinct + 1)
-        self.arcs, self.failures = [np.log10(p)], [np.zeros(len(p))]
-        place = np.arange(len(p)) - np.repeat(ptr[:-1], np.diff(ptr))
-        for n in range(1, len(counts)):
-            context = np.zeros(len(p))
-            context[1:] = counts[n - 1][:-1]
-            context[place < n] = 0
-            p = (counts[n] + strength * p) / (context + strength)
-            self.arcs.append(np.where(counts[n] > 0, np.log10(p), np.nan))
-            self.failures.append(np.log10(strength / (context + strength)))
-
-    def traverse(self) -> np.ndarray:
-        """Log-probability of each token: the arc out of the longest context that has one, after the
-        failure arcs of the longer contexts."""
-        out = np.zeros(len(self.arcs[0]))
-        open_ = np.ones(len(out), bool)
-        for arc, failure in zip(reversed(self.arcs), reversed(self.failures), strict=True):
-            takes = open_ & ~np.isnan(arc)
-            out[takes] += arc[takes]
-            open_ &= ~takes
-            out[open_] += failure[open_]
+        for n in range(1, order + 1):
+            c, last = counts[n - 1], grams.last[n - 1]
+            seen = np.flatnonzero(c > 0)
+            fails = np.zeros(len(seen), np.int32)
+            if n > 1:
+                context, suffix = grams.at[n - 2][last - 1], grams.at[n - 2][last]
+                p = (c + strength * p[suffix]) / (counts[n - 2][context] + strength)
+                fails = numbers[n - 2][suffix[seen]]
+            if n < order:
+                own = numbers[n - 1][seen]
+                self.failure[own] = fails
+                self.backoff[own] = np.log10(strength / (c[seen] + strength))
+            arc = np.full(len(c) + 1, -1, np.int32)  # one more for the tokens without an n-gram
+            arc[seen] = arcs + np.arange(len(seen))
+            arcs += len(seen)
+            self.fits[n - 1] = arc[grams.at[n - 1]]
+            weights.append(np.log10(p[seen]))
+            targets.append(own if n < order else fails)
+        self.arc_weights, self.arc_targets = np.concatenate(weights), np.concatenate(targets)
+        self.starts = np.maximum(numbers[0][grams.at[0][grams.ptr[:-1]]], 0) if order > 1 else np.zeros(len(grams.ptr) - 1, np.int32)
+
+    def step(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that the tokens at these places lead to, and the weights of the arcs on the way."""
+        to, weights = np.zeros(len(states), np.int32), np.zeros(len(states))
+        open_, at = np.arange(len(states)), states
+        while len(open_):
+            arcs = self.fits[self.depth[at], tokens[open_]]
+            taken = arcs >= 0
+            done, arcs = open_[taken], arcs[taken]
+            to[done] = self.arc_targets[arcs]
+            weights[done] += self.arc_weights[arcs]
+            open_, at = open_[~taken], at[~taken]
+            weights[open_] += np.where(at == 0, self.unseen, self.backoff[at])  # no training text has the token
+            inner = at > 0
+            open_, at = open_[inner], self.failure[at[inner]]
+        return to, weights
+
+    def traverse(self, ptr: np.ndarray, segment: int | None = None) -> np.ndarray:
+        """The weight of each token, 0 for the begin marks: one pass from left to right, with the state of
+        every text (or segment of a long one) carried from token to token."""
+        segment = max(segment or SEGMENT, self.order)
+        sizes = np.diff(ptr) - 1
+        parts = -(-sizes // segment)
+        text = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        warm = np.where(number > 0, self.order - 1, 0)
+        begin = ptr[text] + 1 + number * segment - warm
+        length = np.minimum(segment, sizes[text] - number * segment) + warm
+        states = np.where(number > 0, 0, self.starts[text])
+        by = np.argsort(-length, kind="stable")
+        begin, states, warm = begin[by], states[by], warm[by]
+        left = np.searchsorted(-length[by], -np.arange(int(length.max(initial=0))))  # segments longer than t
+        out = np.zeros(self.fits.shape[1])
+        for t, n in enumerate(left.tolist()):
+            at = begin[:n] + t
+            states, weights = self.step(states[:n], at)
+            if t < self.order - 1:
+                read = warm[:n] <= t
+                at, weights = at[read], weights[read]
+            out[at] = weights
         return out
 
 
-def _ask(order: int, buckets: int):
+def _ask(order: int, buckets: Buckets):
     schema = P.arrow_schema(_ROWS)
 
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         table = table.combine_chunks()
-        keys, counts = Batch(table.column("text"), order).question(np.asarray(table.column("train")))
-        cuts = _bucket_slices(keys, buckets)
         batch = table.column("batch")[0].as_py()
+        keys, counts = question(table.column("text"), np.asarray(table.column("train")), order, buckets)
         out: dict[str, list] = {k: [] for k in schema.names}
-        for b in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[b], cuts[b + 1])
-            for name, value in zip(schema.names, (int(b), batch, _low_bytes(keys[part]), P.pack_counts(counts[part])), strict=True):
+        for b, part, packed in buckets.packed(keys):
+            for name, value in zip(schema.names, (b, batch, packed, P.pack_counts(counts[part])), strict=True):
                 out[name].append(value)
         return pa.Table.from_batches([P.frames(schema, out)])
 
@@ -210,7 +282,7 @@ def _ask(order: int, buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     schema = P.arrow_schema(_ROWS)
-    hashes = [_from_low_bytes(x) for x in table.column("hashes").to_pylist()]
+    hashes = [P.unpack_sorted(x) for x in table.column("hashes").to_pylist()]
     counts = [P.unpack_counts(x) for x in table.column("counts").to_pylist()]
     keys, n = np.concatenate(hashes), np.concatenate(counts)
     order = np.argsort(keys)
@@ -224,22 +296,21 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([P.frames(schema, out)])
 
 
-def _score(order: int, total: int, distinct: int, strength: float, names: list[str]):
+def _score(order: int, buckets: Buckets, total: int, distinct: int, strength: float, names: list[str]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         texts = texts.combine_chunks()
-        batch = Batch(texts.column("text"), order)
+        grams = Grams(texts.column("text"), order, buckets)
         answers = answers.sort_by("bucket")
-        counts = batch.answered(np.concatenate([P.unpack_counts(x) for x in answers.column("counts").to_pylist()]))
-        begin = batch.ptr[:-1]
-        weights = BackoffAutomaton(counts, batch.ptr, total, distinct, strength).traverse()
-        base = np.log10((counts[0] + 1.0) / (total + distinct + 1))
-        weights[begin] = base[begin] = 0  # the begin mark is no token
-        known = counts[0] > 0
-        known[begin] = False
-        sums = [np.add.reduceat(x, begin) for x in (weights, base, known.astype(np.int64))]
+        counts = grams.dealt(np.concatenate([P.unpack_counts(x) for x in answers.column("counts").to_pylist()]))
+        automaton = BackoffAutomaton(grams, counts, total, distinct, strength)
+        begin = grams.ptr[:-1]
+        own = counts[0][grams.at[0]]
+        base, known = np.log10((own + 1.0) / (total + distinct + 1)), (own > 0).astype(np.int64)
+        base[begin] = known[begin] = 0  # the begin mark is no token
+        sums = [np.add.reduceat(x, begin) for x in (automaton.traverse(grams.ptr), base, known)]
         n = len(begin)
-        columns = [texts.column("key"), texts.column("train"), pa.array(np.diff(batch.ptr) - 1), pa.array(sums[2]), pa.array(np.full(n, total)), pa.array(sums[1]), pa.array(sums[0])]
+        columns = [texts.column("key"), texts.column("train"), pa.array(np.diff(grams.ptr) - 1), pa.array(sums[2]), pa.array(np.full(n, total)), pa.array(sums[1]), pa.array(sums[0])]
         return pa.Table.from_arrays(columns, names=names)
 
     return run
@@ -249,9 +320,9 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, strength: fl
     """key, train, n_tokens, n_known, train_tokens, base_score and score of every row; counts n-grams
     where `learn` holds."""
     size = P.total_bytes(docs, text)
-    batches, buckets = max(8, -(-size // BATCH_BYTES)), max(32, -(-size * order // (8 * BUCKET_WORDS)))
+    batches, buckets = max(8, -(-size // BATCH_BYTES)), Buckets(max(32, -(-size * order // (8 * BUCKET_WORDS))))
     train = F.coalesce(learn, F.lit(False))
-    total, distinct = corpus_size(docs.where(train).select(F.col(text).alias("text")), max(16, buckets // 4))
+    total, distinct = corpus_size(docs.where(train).select(F.col(text).alias("text")), Buckets(max(16, (1 << buckets.log2) // 4)))
     batch = F.pmod(F.xxhash64(F.lit(3), F.col(key), F.col(text)), F.lit(batches))
     dealt = docs.select(batch.alias("batch"), F.col(key).alias("key"), train.alias("train"), F.col(text).alias("text"))
     asked = dealt.groupBy("batch").applyInArrow(_ask(order, buckets), _ROWS)
@@ -259,4 +330,4 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, strength: fl
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{key}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, total, distinct, strength, names), schema)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(order, buckets, total, distinct, strength, names), schema)

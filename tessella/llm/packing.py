@@ -15,26 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WIDTHS = (2, 4, 8, 16)
+
+
 def pack_counts(values: np.ndarray) -> bytes:
-    """Non-negative integers under 2**32: one, two or four bytes each, whichever is least in all,
-    and four more for those that do not fit."""
+    """Non-negative integers under 2**32: 2, 4, 8, 16 or 32 bits each, whichever is least in all, and 32 more for
+    those that do not fit."""
     n = len(values)
-    sizes = [n * width + 4 * int((values >= limit).sum()) for width, limit in ((1, 255), (2, 65535))] + [4 * n]
-    width = (1, 2, 4)[int(np.argmin(sizes))]
-    if width == 4:
-        return n.to_bytes(4, "little") + b"\x04" + values.astype("<u4").tobytes()
-    limit = (1 << 8 * width) - 1
+    sizes = [n * bits + 32 * int((values >= (1 << bits) - 1).sum()) for bits in _WIDTHS] + [32 * n]
+    bits = (*_WIDTHS, 32)[int(np.argmin(sizes))]
+    start = n.to_bytes(4, "little") + bytes([bits])
+    if bits == 32:
+        return start + values.astype("<u4").tobytes()
+    limit = (1 << bits) - 1
     large = values >= limit
-    head = np.where(large, limit, values).astype(f"<u{width}").tobytes()
-    return n.to_bytes(4, "little") + bytes([width]) + head + values[large].astype("<u4").tobytes()
+    head = np.where(large, limit, values).astype(f"<u{max(1, bits // 8)}")
+    if bits < 8:
+        each = 8 // bits
+        head = np.append(head, np.zeros(-n % each, np.uint8)).reshape(-1, each)
+        head = np.bitwise_or.reduce(head << np.arange(0, 8, bits, dtype=np.uint8), axis=1)
+    return start + head.tobytes() + values[large].astype("<u4").tobytes()
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    n, width = int.from_bytes(raw[:4], "little"), raw[4]
-    out = np.frombuffer(raw, f"<u{width}", n, 5).astype(np.int64)
-    if width < 4:
-        large = np.flatnonzero(out == (1 << 8 * width) - 1)
-        out[large] = np.frombuffer(raw, "<u4", len(large), 5 + width * n)
+    n, bits = int.from_bytes(raw[:4], "little"), raw[4]
+    size = -(-n * bits // 8)
+    out = np.frombuffer(raw, f"<u{max(1, bits // 8)}", size // max(1, bits // 8), 5)
+    if bits < 8:
+        out = ((out[:, None] >> np.arange(0, 8, bits, dtype=np.uint8)) & ((1 << bits) - 1)).ravel()[:n]
+    out = out.astype(np.int64)
+    if bits < 32:
+        large = np.flatnonzero(out == (1 << bits) - 1)
+        out[large] = np.frombuffer(raw, "<u4", len(large), 5 + size)
     return out
 
 
@@ -47,6 +59,37 @@ def unpack_ascending(raw: bytes) -> np.ndarray:
     return np.cumsum(unpack_counts(raw))
 
 
+def pack_sorted(values: np.ndarray, bits: int) -> bytes:
+    """Ascending integers under 2**bits: their low bits as they are, the rest as the marks of a bitmap, which
+    takes about bits - log2(n) + 2 bits an entry."""
+    n = len(values)
+    low = max(0, bits - n.bit_length())
+    marks = np.zeros((int(values[-1]) >> low) + n, np.uint8) if n else np.zeros(0, np.uint8)
+    marks[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    whole, rest = divmod(low, 8)
+    upper = np.packbits(marks).tobytes()
+    parts = [n.to_bytes(4, "little"), bytes([low]), len(marks).to_bytes(6, "little"), upper, raw[:, :whole].tobytes()]
+    if rest:
+        parts.append(np.packbits(np.unpackbits(raw[:, whole : whole + 1], axis=1)[:, 8 - rest :]).tobytes())
+    return b"".join(parts)
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    n, low, size = int.from_bytes(raw[:4], "little"), raw[4], int.from_bytes(raw[5:11], "little")
+    data = np.frombuffer(raw, np.uint8, offset=11)
+    whole, rest = divmod(low, 8)
+    at = -(-size // 8)
+    high = np.flatnonzero(np.unpackbits(data[:at], count=size)) - np.arange(n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :whole] = data[at : at + n * whole].reshape(n, whole)
+    if rest:
+        bits = np.zeros((n, 8), np.uint8)
+        bits[:, 8 - rest :] = np.unpackbits(data[at + n * whole :], count=n * rest).reshape(n, rest)
+        out[:, whole] = np.packbits(bits, axis=1).ravel()
+    return out.view("<u8").ravel().astype(np.uint64) | (high.astype(np.uint64) << np.uint64(low))
+
+
 def sorted_distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values; much faster here than numpy.unique."""
     if len(values) < 2:
@@ -55,6 +98,24 @@ def sorted_distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))]
 
 
+def sorting_order(keys: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The order that sorts unsigned integers under 2**bits. The places go into the low bits of the keys, which
+    are then sorted as numbers; neighbours that only the bits so lost tell apart are swapped afterwards. Much
+    faster here than numpy.argsort."""
+    n = len(keys)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    mask = np.uint64((1 << n.bit_length()) - 1)
+    order = np.sort((keys << np.uint64(64 - bits)) & ~mask | np.arange(n, dtype=np.uint64))
+    order = (order & mask).astype(np.int64)
+    ordered = keys[order]
+    while len(wrong := np.flatnonzero(ordered[1:] < ordered[:-1])):
+        wrong = wrong[np.diff(wrong, prepend=-2) > 1]
+        for x in (order, ordered):
+            x[wrong], x[wrong + 1] = x[wrong + 1], x[wrong]
+    return order
+
+
 def run_starts(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins in an ordered array."""
     if not len(ordered):
@@ -95,6 +156,9 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(","))])
 
 
+_marked: set[str] = set()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir, which all executors share.
 
@@ -111,9 +175,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+    if context.applicationId not in _marked:
+        _marked.add(context.applicationId)
+        delete(spark, context.getCheckpointDir(), at_exit=True)  # Spark's own folder of this session in it
     return folder
 
 
+def delete(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Remove a folder of intermediate rows, now or when the session's driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(path) if at_exit else system.delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder, so lost executors lose nothing."""
     checkpoint_folder(df.sparkSession)

@@ -23,6 +23,8 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 WINDOW_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+HASH_BYTES = 1 << 19
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -63,20 +65,43 @@ class Scan:
     ptr: np.ndarray
 
     def word_hashes(self) -> np.ndarray:
-        """64 bits for each word, equal for equal words wherever they stand."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_CODES[self.data] * powers(BASE, n), out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * powers(BASE_INVERSE, n)[self.starts]
-        return mix(raw ^ (self.ends - self.starts).astype(np.uint64))
+        """64 bits for each word, equal for equal words wherever they stand.
+
+        Worked out for the words that start within HASH_BYTES of each other at a time, and in parts for
+        longer words, so the sums and the table of powers stay small however long a text is."""
+        lengths = self.ends - self.starts
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        long = np.append(np.flatnonzero(lengths > HASH_BYTES), len(out))
+        first = 0
+        while first < len(out):
+            if first == long[0]:
+                out[first] = _long_hash(self.data[self.starts[first] : self.ends[first]])
+                long, first = long[1:], first + 1
+                continue
+            last = min(int(np.searchsorted(self.starts, self.starts[first] + HASH_BYTES)), int(long[0]))
+            base = self.starts[first]
+            part = self.data[base : self.ends[last - 1]]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(BYTE_CODES[part] * powers(BASE, len(part)), out=sums[1:])
+            begin, end = self.starts[first:last] - base, self.ends[first:last] - base
+            out[first:last] = (sums[end] - sums[begin]) * powers(BASE_INVERSE, len(part))[begin]
+            first = last
+        return mix(out ^ lengths.astype(np.uint64))
 
     def owner(self) -> np.ndarray:
         """The text that each word belongs to."""
         return np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.ptr))
 
 
+def _long_hash(word: np.ndarray) -> int:
+    """The sum of the codes of a word's bytes times the powers of BASE, in parts of HASH_BYTES."""
+    total, step = 0, pow(int(BASE), HASH_BYTES, 1 << 64)
+    for k in reversed(range(0, len(word), HASH_BYTES)):
+        part = word[k : k + HASH_BYTES]
+        total = (total * step + int((BYTE_CODES[part] * powers(BASE, len(part))).sum(dtype=np.uint64))) % (1 << 64)
+    return total
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and the offsets of its texts; a null text is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -4,9 +4,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.llm import lm_scoring as L
 from tessella.llm.lm_scoring import score_texts
 from tessella.llm.queries import op8_lm_scoring
 
@@ -49,7 +52,7 @@ def texts():
     return [*rows, (80, None), (81, ""), (82, "unseen words only"), (83, "a " * 400)]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_brute_force(spark, order):
     rows = texts()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -85,3 +88,67 @@ def test_the_registered_query_takes_two_words_of_context(spark, tmp_path):
     pairs = brute(rows + mixed, trained, 2, 200.0)
     for r in op8_lm_scoring(spark, str(tmp_path)).collect():
         assert r.score == pytest.approx(want[r.doc_id][-1], abs=2e-6) and abs(r.score - pairs[r.doc_id][-1]) > 0.01
+
+
+def plain_automaton(rows, order, k):
+    """States, arcs and failure arcs as dictionaries keyed by tuples of tokens."""
+    counts = Counter()
+    for t in rows:
+        seq = ["<s>", *tokens(t)]
+        for n in range(1, order + 1):
+            counts.update(tuple(seq[i : i + n]) for i in range(len(seq) - n + 1))
+    total = sum(n for g, n in counts.items() if len(g) == 1 and g != ("<s>",))
+    distinct = sum(1 for g in counts if len(g) == 1 and g != ("<s>",))
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 1) / (total + distinct + 1)
+        return (counts[gram] + k * p(gram[1:])) / (counts[gram[:-1]] + k)
+
+    states = {g for g in counts if len(g) < order} | {()}
+    arcs = {}
+    for g in counts:
+        to = g if len(g) < order else g[1:]
+        arcs[g[:-1], g[-1]] = (math.log10(p(g)), to)
+    failures = {h: math.log10(k / (counts[h] + k)) for h in states if h}
+    return states, arcs, failures, -math.log10(total + distinct + 1), total, distinct
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_the_traversal_goes_through_the_states_of_a_plain_automaton(order):
+    rng = random.Random(order)
+    train = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(12))) for _ in range(30)]
+    asked = [" ".join(rng.choice("abcdefz") for _ in range(n)) for n in (0, 1, 2, 40, 300)]
+    states, arcs, failures, unseen, total, distinct = plain_automaton(train, order, 5.0)
+    with np.errstate(over="ignore"):
+        column, buckets = pa.array([*train, *asked]), L.Buckets(4)
+        marks = np.arange(len(column)) < len(train)
+        _, counts = L.question(column, marks, order, buckets)
+        grams = L.Grams(column, order, buckets)
+        found = L.BackoffAutomaton(grams, grams.dealt(counts), total, distinct, 5.0)
+        weights = found.traverse(grams.ptr)
+        assert len(found.depth) == len(states) and len(found.arc_weights) == len(arcs)
+        assert np.allclose(found.traverse(grams.ptr, 7), weights, atol=1e-12)  # segments
+    number = {}  # of the states: met on the way, always for the same tuple
+    for text, a in zip(asked, grams.ptr[len(train) : -1].tolist(), strict=True):
+        state = ("<s>",) if ("<s>",) in states else ()
+        at = found.starts[marks.sum() + asked.index(text)]
+        for i, w in enumerate(tokens(text), a + 1):
+            weight, h = 0.0, state
+            while (h, w) not in arcs and h:
+                weight, h = weight + failures[h], h[1:]
+            step, state = arcs.get((h, w), (unseen, ()))
+            assert weights[i] == pytest.approx(weight + step, abs=1e-9)
+            at, _ = found.step(np.atleast_1d(at), np.array([i]))
+            assert number.setdefault(state, int(at[0])) == int(at[0]) and found.depth[at[0]] == len(state)
+    assert len(set(number.values())) == len(number)
+
+
+def test_a_very_long_text_scores_as_its_tokens_do(spark):
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(60_000)) + " " + "y" * (2 << 20)
+    rows = [(k, "a b c dd a b") for k in range(20)] + [(100, long)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, bucket int, hashes string")
+    got = {r.doc_id: r for r in score_texts(docs, F.col("doc_id") != 100).collect()}
+    want = brute(rows, set(range(20)), 3, 200.0)[100]
+    assert (got[100].n_tokens, got[100].n_known) == want[:2] and math.isclose(got[100].score, want[-1], rel_tol=1e-9)
