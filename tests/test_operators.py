@@ -37,8 +37,11 @@ def test_pairs_and_assignment_match_the_readable_rule(spark):
                 used_i.add(i), used_j.add(j), greedy.append((i, j))
         some += len(greedy)
         left, right = (spark.createDataFrame(r, BOX).withColumn("k", F.lit(1)) for r in (a, b))
-        got = V.assign(L.candidate_pairs(left, right, "k"), "k").collect()
+        asked, met = left.withColumnRenamed("k", "qid"), right.withColumn("qid", F.lit(1)).withColumnRenamed("k", "cid")
+        got = V.assign_candidates(asked, met).collect()
         assert sorted((r.pos, r.pos_c) for r in got) == sorted(greedy)
+        cost = {(r.pos, r.pos_c): r.cost for r in L.candidate_pairs(left, right, "k").collect()}
+        assert all(abs(cost[r.pos, r.pos_c] - r.cost) < 1e-12 for r in got)
     assert some
 
 
@@ -57,26 +60,81 @@ def test_ransac_finds_the_transform_among_outliers():
 def test_a_record_verifies_itself(spark):
     rng = random.Random(3)
     rows = spark.createDataFrame(boxes(rng, 20), BOX).withColumn("k", F.lit(1))
-    near = L.candidate_pairs(rows, rows, "k").join(rows.select("k", F.col("pos").alias("pos_c"), F.col("label").alias("label_c")), ["k", "pos_c"])
-    kept = V.assign(near, "k").select("k", "pos", "pos_c")
-    got = V.verify_pairs(near.join(kept, ["k", "pos", "pos_c"]), spark.createDataFrame([(1, 20)], "k int, n int"), "k").first()
+    many = rows.withColumn("qid", F.lit(1)).drop("k").crossJoin(spark.range(150).withColumnRenamed("id", "cid"))
+    found = V.verify_candidates(rows.withColumnRenamed("k", "qid"), many).collect()
+    assert len(found) == 150  # more than one part of candidates
+    got = found[0]
     assert got.inliers == 20 and got.coverage == 1.0 and got.geometric == 1.0
 
 
+def test_fewer_than_three_inliers_tell_no_transform():
+    src = np.array([[0.1, 0.1], [0.9, 0.15], [0.2, 0.8], [0.7, 0.75], [0.5, 0.3]])
+    dst = np.array([[0.9, 0.2], [0.1, 0.9], [0.5, 0.5], [0.95, 0.05], [0.3, 0.6]])
+    transform, inlier = V.ransac_affine(src, dst, limit=-1.0)
+    assert transform is None and not inlier.any()
+    line = np.column_stack([np.linspace(0, 1, 6), np.linspace(0, 1, 6)])
+    assert V.ransac_affine(line, line)[1].all()  # no solid corner: all points are fitted
+
+
+def test_labels_agree_as_they_are_normalised(spark):
+    rng = random.Random(4)
+    a = [(k, rng.random(), rng.random(), 0.1, 0.1, "red", "vol +" if k % 2 else "--") for k in range(12)]
+    b = [(*r[:6], "VOL" if r[0] % 2 else "ok") for r in a]
+    asked = spark.createDataFrame(a, BOX).withColumn("qid", F.lit(1))
+    met = spark.createDataFrame(b, BOX).withColumns({"qid": F.lit(1), "cid": F.lit(2)})
+    got = V.verify_candidates(asked, met).first()
+    assert got.inliers == 12 and got.bonus == pytest.approx(0.30)
+
+
 def test_ratios():
     assert V.indel_ratio("abc", "abc") == 100 and V.indel_ratio("", "") == 100 and V.indel_ratio("ab", "cd") == 0
     assert V.indel_ratio("kitten", "sitting") == pytest.approx(100 * (1 - 5 / 13))
     assert V.partial_ratio("mark", "the watermark here") == 100 and V.partial_ratio("", "x") == 0
 
 
+def test_ratios_of_many_texts_equal_those_of_each():
+    rng, phrase = random.Random(3), "licensed under the apache license"
+    texts = ["".join(rng.choice("licensed unrthapo é") for _ in range(rng.randrange(0, 90))) for _ in range(150)]
+    texts += [phrase, f"x{phrase}y", phrase[:20], phrase[5:], "a", "", "😀licensed under the apachelicense"]
+    want = [V.partial_ratio(x, phrase) for x in texts]
+    assert np.allclose(V.partial_ratios(texts, phrase), want) and np.allclose(V.partial_ratios(texts, phrase, 100), want)
+    for other in ("abc licensed", "x", phrase * 2):
+        assert np.allclose(V.full_ratios(texts, other), [V.indel_ratio(x, other) for x in texts])
+
+
+def test_best_ratios_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "KNOWN_BLOCK", 4)
+    rng = random.Random(6)
+    words, known = (["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(n)] for n in (40, 15))
+    got = V.best_ratios(spark.createDataFrame([(w,) for w in [*words, words[0], None]], "a string"), spark.createDataFrame([(w,) for w in known], "b string")).collect()
+    want = {w: max((V.indel_ratio(w, b), [-ord(c) for c in b] + [1], b) for b in known) for w in words}
+    assert len(got) == len(want) and all(r.ratio == pytest.approx(want[r.a][0]) and V.indel_ratio(r.a, r.b) == pytest.approx(r.ratio) for r in got)
+    ties = {w: min(b for b in known if V.indel_ratio(w, b) > want[w][0] - 1e-9) for w in words}
+    assert {r.a: r.b for r in got} == ties
+
+
+SEEN = "rid int, pass int, polarity string, pos int, x double, y double, w double, h double, conf double"
+
+
 def test_votes_and_suppression(spark):
-    rows = [(1, 0, 0, 0.5, 0.5, 0.2, 0.2, 0.9), (1, 1, 0, 0.51, 0.5, 0.22, 0.2, 0.5), (1, 1, 1, 0.1, 0.1, 0.05, 0.05, 0.4)]
-    df = spark.createDataFrame(rows, "rid int, pass int, pos int, x double, y double, w double, h double, conf double")
-    got = V.merge_votes(df, "rid").collect()
+    rows = [(1, 0, "dark", 0, 0.5, 0.5, 0.2, 0.2, 0.9), (1, 1, "dark", 0, 0.51, 0.5, 0.22, 0.2, 0.5), (1, 1, "dark", 1, 0.1, 0.1, 0.05, 0.05, 0.4)]
+    df = spark.createDataFrame(rows, SEEN)
+    got = V.merge_votes(df, "rid", fewest=1).collect()
     assert [(r.votes, r.w) for r in got] == [(2, 0.22)]
+    assert sorted((r.votes, r.w) for r in V.merge_votes(df, "rid").collect()) == [(1, 0.05), (1, 0.22)]  # the fullest pass alone
     assert V.suppress_overlaps(df, "rid").count() == 2
 
 
+def test_votes_count_within_a_polarity_and_nested_boxes_go(spark):
+    at = [(k, 0.1 + 0.2 * k, 0.3, 0.1, 0.1) for k in range(4)]
+    rows = [(1, p, "dark", *b, 0.5) for p in (0, 1) for b in at]
+    rows += [(1, 2, "light", k, x, y, 0.04, 0.04, 0.5) for k, x, y, _, _ in at]  # glyphs inside: too small to merge
+    rows += [(1, 3, "light", *b, 0.5) for b in at[:2]]  # a pass of too few boxes does not count
+    rows += [(1, 0, "dark", 9, 0.4, 0.3, 0.9, 0.3, 0.5), (1, 1, "dark", 9, 0.4, 0.3, 0.9, 0.3, 0.5)]  # a panel around all
+    got = V.merge_votes(spark.createDataFrame(rows, SEEN), "rid").collect()
+    assert [(r.place, round(r.x, 6), r.w, r.votes) for r in got] == [(k, round(0.1 + 0.2 * k, 6), 0.1, 2) for k in range(4)]
+
+
 def test_self_retrieval_and_exclusions(spark):
     rng = random.Random(5)
     rows = [(r, *b) for r in range(30) for b in boxes(rng, 15)]
