@@ -49,10 +49,9 @@ def a2_code_map(spark, sf):
     return codes.join(live, "rid", "left_semi").groupBy("norm_code").agg(F.count("*").alias("n"), F.min("rid").alias("first_rid"), F.max("rid").alias("last_rid"))
 
 
-@query("SELECT doc_id, regexp_replace(trim(substr(text, 1, 60)), '\\s+', ' ', 'g') AS title FROM documents WHERE length(trim(substr(text, 1, 60))) > 0")
+@query("SELECT doc_id, regexp_replace(trim(split_part(text, chr(10), 1)), '\\s+', ' ', 'g') AS title FROM documents WHERE length(trim(split_part(text, chr(10), 1))) > 0")
 def a3_export_titles(spark, sf):
-    head = F.substring("text", 1, 60)
-    return table(spark, sf, "documents").where(F.length(F.trim(head)) > 0).select("doc_id", T.collapse_spaces(head).alias("title"))
+    return titles(spark, sf).where(F.length("title") > 0).select("doc_id", T.collapse_spaces(F.col("title")).alias("title"))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT quality * 2 + toxic) AS groups FROM labels WHERE quality IS NOT NULL")
@@ -181,10 +180,10 @@ def c2_metadata_unambiguous(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(meta, F.col("doc_id").cast("string") == F.col("stem"), "left").select("doc_id", "nid")
 
 
-@query("SELECT doc_id, brand FROM (SELECT doc_id, upper(regexp_replace(unnest(string_split(substr(text, 1, 200), ' ')), '[^A-Za-z0-9]+', '', 'g')) AS w FROM documents) JOIN (SELECT DISTINCT upper(regexp_replace(p_name, '[^A-Za-z0-9]+', '', 'g')) AS k, p_name AS brand FROM part UNION SELECT 'THE', 'The') ON w = k WHERE length(w) >= 3 GROUP BY ALL")
+@query("SELECT doc_id, brand FROM (SELECT doc_id, upper(regexp_replace(unnest(string_split(text, ' ')), '[^A-Za-z0-9]+', '', 'g')) AS w FROM documents) JOIN (SELECT DISTINCT upper(regexp_replace(p_name, '[^A-Za-z0-9]+', '', 'g')) AS k, p_name AS brand FROM part UNION SELECT 'THE', 'The') ON w = k WHERE length(w) >= 3 GROUP BY ALL")
 def c15_brand_exact(spark, sf):
     bare = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z0-9]+", ""))
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 200), " ")).alias("t")).select("doc_id", bare(F.col("t")).alias("w")).where(F.length("w") >= 3)
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("t")).select("doc_id", bare(F.col("t")).alias("w")).where(F.length("w") >= 3)
     known = table(spark, sf, "part").select(bare(F.col("p_name")).alias("w"), F.col("p_name").alias("brand")).distinct()
     known = known.unionByName(spark.range(1).select(F.lit("THE").alias("w"), F.lit("The").alias("brand")))
     return words.join(known, "w").select("doc_id", "brand").distinct()
@@ -207,10 +206,10 @@ def c16_codes_from_titles(spark, sf):
     return met.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("WITH p AS (SELECT doc_id, md5(text) AS h FROM documents) SELECT a.doc_id AS photo, b.doc_id AS rid FROM p a JOIN p b USING (h) WHERE a.doc_id IN (SELECT doc_id FROM labels) AND a.doc_id % 10 = 1")
+@query("WITH p AS (SELECT doc_id, md5(text) AS h FROM documents) SELECT a.doc_id AS photo, b.doc_id AS rid FROM p a JOIN p b USING (h) WHERE a.doc_id IN (SELECT doc_id FROM labels)")
 def c17_truth_classes(spark, sf):
     products = table(spark, sf, "documents").select(F.col("doc_id").alias("rid"), F.md5("text").alias("product"))
-    labelled = table(spark, sf, "labels").where("doc_id % 10 = 1").select(F.col("doc_id").alias("photo"), F.col("doc_id").alias("rid")).distinct()
+    labelled = table(spark, sf, "labels").select(F.col("doc_id").alias("photo"), F.col("doc_id").alias("rid")).distinct()
     return K.truth_classes(labelled, products)
 
 

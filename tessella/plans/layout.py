@@ -47,15 +47,15 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_("buttons")
+    with_(SQL["buttons"].replace(" AS (", " AS MATERIALIZED (", 1))
     + """SELECT rid, pos, pos_c, round(d + CASE WHEN color <> color_c THEN 0.35 ELSE 0 END, 6) AS cost FROM (
         SELECT a.rid, a.pos, b.pos AS pos_c, a.color, b.color AS color_c, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d,
                greatest(a.w * a.h, 1e-9) AS p, greatest(b.w * b.h, 1e-9) AS q
-        FROM buttons a JOIN buttons b ON a.rid = b.rid - 1 WHERE a.rid % 5 = 3) WHERE d <= 0.25 AND greatest(p / q, q / p) <= 2.2e0 * 2.2e0"""
+        FROM buttons a JOIN (SELECT * REPLACE (rid - 1 AS rid) FROM buttons) b ON a.rid = b.rid) WHERE d <= 0.25 AND greatest(p / q, q / p) <= 2.2e0 * 2.2e0"""
 )
 def c8_pair_theta(spark, sf):
     b = buttons(spark, sf)
-    met = L.candidate_pairs(b.where("rid % 5 = 3"), b.where("rid % 5 = 4").withColumn("rid", F.col("rid") - 1), "rid")
+    met = L.candidate_pairs(b, b.withColumn("rid", F.col("rid") - 1), "rid")
     return met.select("rid", "pos", "pos_c", F.round("cost", 6).alias("cost"))
 
 
