@@ -16,8 +16,10 @@ reference and probe:
 2. A bucket sorts its entries: a hash that has two entries or more, one of them an aligned
    reference block, is a hit at all of them. The positions return to their documents.
 3. Hits are extended: only windows of `window` words that contain a hit can be repeats. They
-   are compared by 64-bit hash; the first start of each sequence stays, all other starts are
-   repeats, and overlapping repeats join up to the maximal exact repeats (`spans`).
+   are dealt to buckets by one hash and compared there by all 64 bits of a second, independent one (no
+   words are compared: of a million windows in a bucket, about one in 10**13 meets a wrong one); the
+   first start of each sequence stays, all other starts are repeats, and overlapping repeats join up to
+   the maximal exact repeats (`spans`).
 
 No pair of documents is ever formed, so groups of copies cost what their text costs. Work is
 in proportion to the text; buckets are as many as the text needs, so that each holds about
@@ -26,7 +28,8 @@ BUCKET_WORDS entries at any size.
 Edge cases: null and empty texts have no words and lose none. Documents shorter than a window
 lose none. Rows with the same doc_id and text count as one document and get the same result;
 rows with the same doc_id and other text are ordered by a hash of the text. A null doc_id sorts
-before all others. Other columns, whatever their names, are not read.
+before all others. A very long text is read whole, by one task. An empty table gives an empty result. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -199,12 +202,13 @@ def _extend(window: int, block: int, buckets: int):
     """Step 3: windows that contain a hit; of those that repeat in the task only the first goes on."""
     schema = P.arrow_schema(_WINDOWS)
 
-    def rows(ids, ths, numbers, hashes, starts) -> pa.RecordBatch:
-        """numbers: of the document that each window is in. Documents are ordered by (id, text)."""
+    def rows(ids, ths, numbers, hashes, seconds, starts) -> pa.RecordBatch:
+        """numbers: of the document that each window is in. Documents are ordered by (id, text). seconds: the
+        hashes that tell the bucket."""
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((ths, ids))] = np.arange(len(ids))
         order = np.lexsort(((rank[numbers] << 32) | starts, hashes))
-        hashes, numbers, starts = hashes[order], numbers[order], starts[order]
+        hashes, seconds, numbers, starts = hashes[order], seconds[order], numbers[order], starts[order]
         runs = P.run_starts(hashes)
         first = np.zeros(len(hashes), bool)
         first[runs] = True
@@ -230,18 +234,18 @@ def _extend(window: int, block: int, buckets: int):
             home = int(hashes[later][0] % np.uint64(buckets))  # this row only passes through its bucket
             put(home, documents(dup_no[order]), None, None, dup_at[order].astype("<u4").tobytes())
         hashes, numbers, starts = hashes[first], numbers[first], starts[first]
-        bucket = _bucket_of(hashes, buckets)
+        bucket = _bucket_of(seconds[first], buckets)
         order = np.lexsort(((numbers << 32) | starts, bucket))
         bucket, hashes, numbers, starts = bucket[order], hashes[order], numbers[order], starts[order]
         cuts = P.bucket_cuts(bucket, buckets)
         for b in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[b], cuts[b + 1])
-            put(int(b), documents(numbers[part]), _seven_bytes(hashes[part]), starts[part].astype("<u4").tobytes(), None)
+            put(int(b), documents(numbers[part]), hashes[part].astype("<u8").tobytes(), starts[part].astype("<u4").tobytes(), None)
         return P.frames(schema, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        ids_of, ths_of, numbers, hashes, starts, size, count = [], [], [], [], [], 0, 0
+        ids_of, ths_of, numbers, hashes, seconds, starts, size, count = [], [], [], [], [], [], 0, 0
         for batch, a, z, ids, ths, found, words in _documents(batches):
             full, at = S.window_hashes(words, found.ptr, window)
             near = np.zeros(len(words) + 1, np.int64)
@@ -256,31 +260,21 @@ def _extend(window: int, block: int, buckets: int):
             owner = np.searchsorted(found.ptr, at[keep], side="right") - 1
             numbers.append(owner + count)
             hashes.append(full[keep])
+            seconds.append(S.window_hashes(words, found.ptr, window, 1)[0][keep] if keep.any() else full[:0])
             starts.append(at[keep] - found.ptr[owner])
             ids_of.append(ids)
             ths_of.append(ths)
             count += len(ids)
             size += len(numbers[-1])
             if size >= FLUSH_WORDS:
-                yield rows(*map(np.concatenate, (ids_of, ths_of, numbers, hashes, starts)))
-                ids_of, ths_of, numbers, hashes, starts, size, count = [], [], [], [], [], 0, 0
+                yield rows(*map(np.concatenate, (ids_of, ths_of, numbers, hashes, seconds, starts)))
+                ids_of, ths_of, numbers, hashes, seconds, starts, size, count = [], [], [], [], [], [], 0, 0
         if size:
-            yield rows(*map(np.concatenate, (ids_of, ths_of, numbers, hashes, starts)))
+            yield rows(*map(np.concatenate, (ids_of, ths_of, numbers, hashes, seconds, starts)))
 
     return run
 
 
-def _seven_bytes(hashes: np.ndarray) -> bytes:
-    """The low 56 bits; the top eight are nearly all told by the bucket."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-
-
-def _from_seven_bytes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view("<u8").ravel()
-
-
 def _first_starts(homes: int):
     """Step 3: of the windows of one bucket, those that are not the first with their sequence, in
     one row for each home, a group of documents."""
@@ -295,7 +289,7 @@ def _first_starts(homes: int):
             ids.append(np.repeat(i, n))
             ths.append(np.repeat(t, n))
             starts.append(np.frombuffer(local if passed else at, "<u4"))
-            hashes.append(np.zeros(len(starts[-1]), np.uint64) if passed else _from_seven_bytes(h))
+            hashes.append(np.zeros(len(starts[-1]), np.uint64) if passed else np.frombuffer(h, "<u8"))
             lost.append(np.full(len(starts[-1]), passed))
         i, t, h, at, later = map(np.concatenate, (ids, ths, hashes, starts, lost))
         order = np.lexsort((at, t, i, h, later))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -93,3 +94,15 @@ def test_empty_table_and_clashing_columns(spark):
 def test_window_of_one_is_refused(spark):
     with pytest.raises(ValueError):
         substring_dedup(spark.createDataFrame([], "doc_id long, text string"), 1)
+
+
+def test_a_very_long_text_and_an_empty_table(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    words[50_000:50_060] = words[100:160]
+    rows = [(1, " ".join(words) + " " + "z" * (2 << 20)), (2, " ".join(words[40_000:40_030])), (3, None)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, bucket int, hits string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(docs).collect()}
+    assert got == {1: (60_001, 60), 2: (30, 30), 3: (0, 0)}
+    assert substring_dedup(docs.limit(0)).count() == 0 and cut_repeats(docs.limit(0)).count() == 0
+    assert cut_repeats(docs).columns == docs.columns
