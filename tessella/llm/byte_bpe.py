@@ -6,7 +6,7 @@ that is a token stands for itself, all others start as single bytes in a linked
 adjacent pair whose joined bytes have the lowest rank is merged, leftmost first, until no pair
 has a rank.
 
-All distinct pre-tokens of a batch share one linked list, with gaps in it that no pair crosses.
+All distinct pre-tokens of a run of texts share one linked list, with gaps in it that no pair crosses.
 One bucket for each rank holds the list positions whose pair had that rank when they were put
 in; a bitmap of 64-ary levels finds the first bucket that is not empty; entries whose pair has
 changed since are stale and skipped. A very long pre-token costs O(n) queue entries, whatever
@@ -18,7 +18,9 @@ The merged rank of two tokens is looked up in one sorted array of all pairs whos
 is a token; it depends on the vocabulary only.
 
 Edge cases: null and empty texts have no ids and decode to the empty string. Special tokens are
-ordinary text. Repeated rows are encoded like any other; other columns are passed through.
+ordinary text. Repeated rows are encoded like any other; an empty table gives an empty result. Other columns
+are passed through by `bpe_tokens` but for those named like its results, which are replaced; `bpe_digests`
+reads the key and the text only.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from . import packing as P
 
 NONE = 1 << 30
 PIECE_CHARS = 2_000_000
+FLUSH_CHARS = 8_000_000
 
 
 class RankBitmap:
@@ -85,7 +88,8 @@ class BytePairCodec:
         with open(path, "rb") as f:
             rows = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in rows}
-        self.split = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
+        self.split, self.iterate = compiled.findall, compiled.finditer
         size = max(self.ranks.values()) + 1
         vocabulary = [b""] * size
         for token, rank in self.ranks.items():
@@ -201,21 +205,30 @@ class BytePairCodec:
             out[P.gather_ranges(out_ptr[rest], lengths[rest])] = some
         return out, out_ptr
 
+    def _pieces(self, text: str | None) -> Iterator[str]:
+        """The pre-tokens of a text; those of a long one are never held all at once."""
+        if not text:
+            return iter(())
+        return (m.group() for m in self.iterate(text)) if len(text) > PIECE_CHARS else iter(self.split(text))
+
     def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, bounds) for runs of texts: text k of a run has the ids bounds[k]:bounds[k+1]."""
+        """(ids, bounds) for runs of texts: text k of a run has the ids bounds[k]:bounds[k+1]. The distinct
+        pre-tokens of about FLUSH_CHARS characters of text are encoded at a time."""
         index: dict[str, int] = {}
-        runs, found, counts, size = [], [], [], 0
-        for text in texts:
-            pieces = self.split(text) if text else []
-            found.append(np.fromiter((index.setdefault(x, len(index)) for x in pieces), np.int32, len(pieces)))
+        runs, found, size, total = [], [], 0, 0
+        for k, text in enumerate(texts):
+            found.append(np.fromiter((index.setdefault(x, len(index)) for x in self._pieces(text)), np.int32))
             size += len(text or "")
-            if size >= PIECE_CHARS:
+            last = k == len(texts) - 1
+            if size >= PIECE_CHARS or last:
                 runs.append(found)
-                found, size = [], 0
-        if found:
-            runs.append(found)
+                found, size, total = [], 0, total + size
+            if total >= FLUSH_CHARS or last:
+                yield from self._encoded(index, runs)
+                index, runs, total = {}, [], 0
+
+    def _encoded(self, index: dict[str, int], runs: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, ptr = self.encode_pieces(list(index))
-        del index
         for found in runs:
             at = np.concatenate(found)
             lengths = ptr[at + 1] - ptr[at]

@@ -75,3 +75,16 @@ def test_bitmap_finds_the_least_member():
         (bits.discard if x in have else bits.add)(x)
         have ^= {x}
         assert bits.first() == min(have, default=-1)
+
+
+def test_runs_that_are_encoded_apart_give_the_same_ids(reference, monkeypatch):
+    from tessella.llm import byte_bpe as B
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["the ", "cat", "é", " 12", "\n\n", "xyz"]) for _ in range(rng.randrange(200))) for _ in range(60)] + [None, ""]
+    for piece, flush in ((50, 50), (1, 1), (300, 5000)):
+        monkeypatch.setattr(B, "PIECE_CHARS", piece)
+        monkeypatch.setattr(B, "FLUSH_CHARS", flush)
+        got = [ids[a:z].tolist() for ids, bounds in codec(PATH, PATTERN).encode_texts(texts) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [reference.encode_ordinary(x or "") for x in texts]
+    assert list(codec(PATH, PATTERN).encode_texts([])) == []
