@@ -8,12 +8,11 @@ estimate of their centre and scatter:
 1. start from the coordinate-wise medians and median absolute deviations;
 2. C-steps: keep the share ALPHA of the rows that lie nearest by Mahalanobis distance, take their
    mean and covariance (with the factor that makes it consistent at the normal distribution) and
-   repeat STEPS times, which never raises the determinant;
+   repeat, which never raises the determinant, until no group's determinant changes by more than the share
+   SETTLED (or STEPS times, which the quantile sketches' noise may take);
 3. reweight: the moments of the rows within the 0.975 chi-square quantile are the final estimate.
 
-A row is rejected when its squared distance is beyond the CUT quantile of chi-square with p
-degrees and it lies on the junk side (more symbols, repeated lines or repeated words than the
-centre, or longer words), so that unusually clean texts stay.
+A row is rejected when its squared distance is beyond the CUT quantile of chi-square with p degrees.
 
 Scale. The texts are read once, without a shuffle; the counts go to the checkpoint folder and
 all steps read only them. Medians and the nearest share come from mergeable quantile sketches,
@@ -28,7 +27,8 @@ that pool is too small, its rows are kept.
 Edge cases: a null text has no words and fails the plain limits, as an empty one does. Null
 languages and sources are groups of their own. Ties at the nearest share are all kept. Repeated
 rows are judged alike. With an empty table the result is empty. Constant statistics get a
-variance floor (RIDGE).
+variance floor (RIDGE). A very long text is one row like any other. Columns named like the results are replaced;
+all others but the text pass through.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from . import packing as P
 
 WINDOW = 5
-STEPS = 3
+STEPS = 12
+SETTLED = 0.01
 ALPHA = 0.75
 CUT = 1 - 1e-6
 MIN_ROWS = 50
@@ -193,10 +194,15 @@ def robust_groups(rows: DataFrame, steps: int = STEPS, alpha: float = ALPHA) ->
     p = len(VECTOR)
     factor = alpha / chi_square_cdf(chi_square_quantile(alpha, p), p + 2)
     groups = P.durable(_start(rows))
+    volume = sum((F.log(f"l{i}{i}") for i in range(p)), F.lit(0.0))  # half the logarithm of the determinant
     for _ in range(steps):
+        before = groups.select("gid", volume.alias("before"))
         measured = _distance(rows, groups).select("gid", "d2", *VECTOR)
         near = P.durable(measured.groupBy("gid").agg(F.percentile_approx("d2", alpha, SKETCH).alias("limit")))
         groups = P.durable(_moments(_join(measured, near).where("d2 <= limit"), factor))
+        change = groups.select("gid", volume.alias("now")).join(before, "gid").agg(F.max(F.abs(2 * (F.col("now") - F.col("before"))))).first()[0]
+        if change is None or change <= SETTLED:
+            break
     inner = 0.975
     factor = inner / chi_square_cdf(chi_square_quantile(inner, p), p + 2)
     measured = _distance(rows, groups).where(F.col("d2") <= chi_square_quantile(inner, p))
@@ -219,7 +225,7 @@ def quality_rules(docs: DataFrame, cut: float = CUT, text: str = "text", lang: s
     known = rows.join(F.broadcast(groups) if few else groups, "gid", "left_semi")
     judged = _distance(known, groups)
     limit = chi_square_quantile(cut, len(VECTOR))
-    beyond = (F.col("d2") > limit) & (F.greatest(*[F.col(x) - F.col(f"m{i}") for i, x in enumerate(VECTOR)]) > 0)
+    beyond = F.col("d2") > limit
     columns = ["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     none = F.lit(None).cast("double")
     parts = [

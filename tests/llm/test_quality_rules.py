@@ -54,10 +54,12 @@ def test_estimate_against_numpy(spark):
         return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
 
     for _ in range(Q.STEPS):
-        d = squared()
+        d, before = squared(), np.linalg.slogdet(scatter)[1]
         near = x[d <= np.quantile(d, Q.ALPHA, method="inverted_cdf")]
         factor = Q.ALPHA / Q.chi_square_cdf(Q.chi_square_quantile(Q.ALPHA, 4), 6)
         centre, scatter = near.mean(0), np.cov(near.T, bias=True) * factor + Q.RIDGE * np.eye(4)
+        if abs(np.linalg.slogdet(scatter)[1] - before) <= Q.SETTLED:
+            break
     limit = Q.chi_square_quantile(0.975, 4)
     near = x[squared() <= limit]
     scatter = np.cov(near.T, bias=True) * 0.975 / Q.chi_square_cdf(limit, 6) + Q.RIDGE * np.eye(4)
@@ -87,3 +89,20 @@ def test_nulls_small_groups_and_clashing_columns(spark):
     got = Q.quality_rules(docs).collect()
     assert len(got) == 31 and all(r.kept is True for r in got)
     assert Q.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_verdicts_follow_from_distances_and_long_texts_are_judged(spark):
+    import random
+
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(400)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(40, 200))), "en", "s") for k in range(300)]
+    rows += [(1000, " ".join(rng.choice(words) for _ in range(200_000)), "en", "s"), (1001, " ".join("#$%&" + rng.choice(words) for _ in range(150)), "en", "s")]
+    rows += [rows[0], rows[1001 - 700]]
+    got = Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    limit = Q.chi_square_quantile(Q.CUT, 4) ** 0.5
+    for r in got:
+        assert r.kept == (not r.base_failed and (r.distance is None or r.distance <= limit))
+    assert {r.kept for r in got if r.doc_id == 1001} == {False} and sum(r.kept for r in got) >= 298
+    assert len({(r.distance, r.kept) for r in got if r.doc_id == 0}) == 1
