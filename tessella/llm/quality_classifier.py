@@ -5,7 +5,7 @@ and a shrinkage covariance: S = (1 - a) * class covariance + a * (0.5 * pooled c
 0.5 * diagonal of it) plus a ridge, with a = strength / (strength + rows of the class), so that
 a class with few rows leans on the pooled estimate. The Cholesky factors of the covariances are
 worked out once. A text's score is the logistic of the difference of the two Mahalanobis
-log-densities plus the log prior odds, tempered by `temperature`.
+log-densities plus the log prior odds.
 
 The moments are sums over all labelled rows, taken by one aggregate (p + p(p+1)/2 numbers a
 class come to the driver); the labels meet a table of short vectors, not the texts. Statistics
@@ -14,7 +14,8 @@ are computed in one pass without a shuffle over every whole text.
 Edge cases: a null or empty text has the statistics of an empty text and a score like any other.
 A row with several labels counts once for each; null labels do not count. With no rows of one
 class or none at all every text scores the share of class 1 (0.5 without labels). The key may be
-null; repeated rows score alike. Labels, languages and sources are never read by the score.
+null; repeated rows score alike. A very long text is read whole; an empty table gives an empty result.
+Labels, languages and sources are never read by the score, nor are other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -157,11 +158,10 @@ def statistics_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 class Discriminant:
     """Two Gaussian classes with cached Cholesky factors."""
 
-    def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]], strength: float = STRENGTH, temperature: float = 1.0) -> None:
+    def __init__(self, moments: dict[int, tuple[float, np.ndarray, np.ndarray]], strength: float = STRENGTH) -> None:
         """moments: for each class its rows, the sum of the vectors and the sum of their outer products."""
         rows = {k: m[0] for k, m in moments.items()}
         total = sum(rows.values())
-        self.temperature = temperature
         self.share = rows.get(1, 0.0) / total if total else 0.5
         self.factors = []
         if min(rows.get(0, 0), rows.get(1, 0)) < 1:
@@ -179,7 +179,7 @@ class Discriminant:
         if not self.factors:
             return np.full(len(stats), self.share)
         density = [-0.5 * (((stats - mean) @ inverse.T) ** 2).sum(axis=1) - 0.5 * log_det for mean, inverse, log_det in self.factors]
-        odds = (density[1] - density[0]) * self.temperature + np.log(self.share / (1 - self.share))
+        odds = density[1] - density[0] + np.log(self.share / (1 - self.share))
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 

@@ -73,3 +73,73 @@ def test_every_language_is_learned_whatever_their_number(spark):
     rows = [(k, f"l{k}", " ".join([x] * 5)) for k, x in enumerate(names)]
     got = identify_language(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True)).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {k: lang for k, lang, _ in rows}
+
+
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney of order 4 with dictionaries; returns the probability of a run of four symbols."""
+    from collections import Counter, defaultdict
+
+    levels = {4: Counter(g for t in texts for g in runs(t))}
+    for n in (3, 2, 1):
+        before = defaultdict(set)
+        for g in levels[n + 1]:
+            before[g[1:]].add(g[0])
+        levels[n] = Counter({g: len(s) for g, s in before.items()})
+    discount, total, kinds = {}, defaultdict(int), defaultdict(int)
+    for n, counts in levels.items():
+        ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        for g, c in counts.items():
+            total[n, g[:-1]] += c
+            kinds[n, g[:-1]] += 1
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(levels[1]) + 1)
+        if not total[n, g[:-1]]:
+            return p(g[1:])
+        return (max(levels[n][g] - discount[n], 0) + discount[n] * kinds[n, g[:-1]] * p(g[1:])) / total[n, g[:-1]]
+
+    return p
+
+
+def runs(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    symbols = [c for k, c in enumerate(letters) if c != " " or (k and letters[k - 1] != " ")]
+    return [tuple(([" "] * 3 + symbols)[k : k + 4]) for k in range(len(symbols))]
+
+
+def test_cross_entropies_equal_a_plain_model():
+    import math
+    import random
+
+    import numpy as np
+
+    from tessella.llm.language_id import KneserNey, LanguageModel, distinct_grams, symbols
+
+    rng = random.Random(5)
+    train = ["".join(rng.choice("aab c dé.") for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    asked = [*train[:5], "abcd", "É a é", "zzz qq", "a"]
+    values, ptr = symbols(train)
+    keys, which = distinct_grams(values, ptr)
+    got = LanguageModel({"x": KneserNey(keys, np.bincount(which, minlength=len(keys)))}).entropies(asked)[:, 0]
+    p = plain_kneser_ney(train)
+    for text, e in zip(asked, got, strict=True):
+        assert e == np.float64(e) and abs(e + sum(math.log(p(g)) for g in runs(text)) / len(runs(text))) < 1e-9, text
+
+
+def test_ties_go_to_the_first_name_and_long_texts_are_read_whole(spark):
+    rows = [(k, "same words here", lang) for k, lang in enumerate(["b", "a"] * 20)]
+    rows += [(100, "same", None), (101, "same words " * 200_000 + "1" * 1_000_000, None)]
+    docs = spark.createDataFrame([(*r, "y", 2.0) for r in rows], "doc_id long, text string, lang string, entropy string, score double")
+    got = {r.doc_id: r for r in identify_language(docs, F.lit(True)).collect()}
+    assert got[100].lang_pred == "a" and abs(got[100].score - 0.5) < 0.01 and got[101].lang_pred == "a"
+    import numpy as np
+
+    from tessella.llm.language_id import KneserNey, LanguageModel
+
+    same = KneserNey(np.array([1, 2], np.uint64), np.array([3, 1]))
+    model = LanguageModel({"b": same, "a": same})
+    e = model.entropies(["abc"])
+    assert model.names == ["a", "b"] and e[0, 0] == e[0, 1] and e[0].argmin() == 0

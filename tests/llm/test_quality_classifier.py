@@ -64,3 +64,24 @@ def test_nulls_repeats_and_missing_classes(spark):
     got = Q.quality_scores(docs, labels.limit(0), F.lit(True)).collect()
     assert {(r.score, r.predicted) for r in got} == {(0.5, 1)}
     assert Q.quality_scores(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_the_fit_from_documents_repeats_and_long_texts(spark):
+    """The registered path against moments taken by numpy from the same statistics, with a label that counts twice."""
+    rng = np.random.default_rng(3)
+    words = [f"word{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(words, rng.integers(5, 80))) + ("!" * 30 + "|" if k % 3 == 0 else "."), k % 2) for k in range(120)]
+    rows.append((500, " ".join(rng.choice(words, 300_000)), 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stats int")
+    marks = [(k, int(k % 3 != 0)) for k in range(0, 120, 2)]
+    labels = spark.createDataFrame([*marks, marks[4], (9999, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in Q.quality_scores(docs, labels, F.lit(True)).collect()}
+    text = {d: t for d, t, _ in rows}
+    stats = lambda ids: np.vstack([Q.text_statistics(np.frombuffer(text[d].encode(), np.uint8), np.array([0, len(text[d].encode())])) for d in ids])
+    moments = {}
+    for k in (0, 1):
+        x = stats([d for d, y in [*marks, marks[4]] if y == k])
+        moments[k] = (float(len(x)), x.sum(0), x.T @ x)
+    with np.errstate(over="ignore"):
+        want = dict(zip(text, Q.Discriminant(moments).scores(stats(text)), strict=True))
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in got)
