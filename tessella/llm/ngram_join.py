@@ -13,15 +13,18 @@ sets are linked at Jaccard similarity `threshold` or more; linked sets and copie
    1 / threshold wide; a set within one step of the next class chooses its paths there too.
 3. A bucket of more than SMALL sets is split: its sets choose FAN further tokens each, by hashes
    seeded with the path. A bucket is dense if one token would take more than half of its sets
-   along: splitting near copies only multiplies their work. Dense buckets and those of the last
-   level are compared whatever their size, in pairs of chunks
-   of about CHUNK sets and CHUNK_TOKENS tokens at most (so are small buckets of large sets), so no
-   task holds an unbounded group and nothing is left out.
+   along, which about PROBE of its sets tell: splitting near copies only multiplies their work. Dense
+   buckets and those of the last level are compared whatever their size.
 4. A small bucket is compared by brute force: exact intersections by a product of incidence
-   matrices over the tokens that two sets or more have. A pair that shares several buckets is
+   matrices over the tokens that two sets or more have. A pair that shares several small buckets is
    counted in the one with the least path only; buckets with the same members are one.
+5. Near copies share many dense buckets. Each set has one home, the largest of its dense buckets, and is
+   dealt to chunks of about CHUNK sets and CHUNK_TOKENS tokens of its home. Two homes meet if some dense
+   bucket has sets of both; their chunks are compared pair by pair, so two sets are compared once, however
+   many dense buckets they share, and no task holds an unbounded group. Pairs that share a dense
+   bucket are counted there and in no small one.
 
-A bucket returns one row a set (its links, and an edge to the least set it is joined with), not
+A comparison returns one row a set (its links, and an edge to the least set it is joined with), not
 its pairs; the classes are the connected components of these edges.
 
 Result: one row for each row of the input with set_id (least doc_id with the same set), class_id
@@ -29,13 +32,17 @@ Result: one row for each row of the input with set_id (least doc_id with the sam
 this one).
 
 Scale. Texts are read twice, the second time only those that share a path with another; tokens
-are shipped once for each bucket they are compared in. Exact copies collapse before any comparison
-and hot paths are counted with partial sums. The links of a group of n different near copies are
-n * (n - 1) / 2 by definition; they are counted in chunks, with a few bits of work a pair.
+are shipped once for each small bucket, and once for each chunk that their home's chunk meets. Exact
+copies collapse before any comparison and hot paths are counted with partial sums. The links of a
+group of n different near copies are n * (n - 1) / 2 by definition; they are counted in chunks, with a few
+bits of work a pair.
 
 Edge cases: texts without words are classes of their own without links or copies. Null doc_ids
 count as the least number. Rows with the same doc_id are different documents if their texts
-differ, and copies if not. Other columns are not read.
+differ, and copies if not. A very long text is a set like any other; sets of more than CHUNK_TOKENS
+tokens are compared in chunks of their own. An empty table gives an empty result. Other columns,
+whatever their names, are not read. Tokens are told apart by 64-bit hashes in a text, and by
+TOKEN_BYTES bytes of them between the sets of one comparison.
 """
 
 from __future__ import annotations
@@ -59,13 +66,16 @@ RECALL = 1 - 1e-6
 FAN = 4
 LEVELS = 3
 SMALL = 200
-CHUNK = 200
+PROBE = 64
+CHUNK = 400
 CHUNK_TOKENS = 400_000
 SIZE_STEPS = 3
 PIECE_BYTES = 1 << 20
-COLUMNS = 16_384
+COLUMNS = 8_192
+FLUSH_ROWS = 50_000
+BROADCAST_PATHS = 50_000
 LEAST = -(1 << 63)
-TOKEN_BITS = 40
+TOKEN_BYTES = 6
 
 
 def runs_for(recall: float, threshold: float, fan: int = FAN, levels: int = LEVELS) -> int:
@@ -87,16 +97,26 @@ class Sets:
         whole = [S.window_hashes(hashes[found.ptr[k] : found.ptr[k + 1]], np.array([0, words[k]]), int(words[k]))[0] for k in short]
         grams = np.concatenate([grams, *whole])
         own = np.concatenate([own, short])
-        keys = P.sorted_distinct((own.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (grams >> np.uint64(64 - TOKEN_BITS)))
-        self.tokens = keys & np.uint64((1 << TOKEN_BITS) - 1)
-        self.ptr = np.searchsorted(keys >> np.uint64(TOKEN_BITS), np.arange(n + 1))
+        # 40 bits of the hash under the number of the text (a piece has fewer than 2**24 of them) order the
+        # tokens; where they cannot tell two tokens apart, the whole hashes do
+        keys = (own.astype(np.uint64) << np.uint64(40)) | (grams >> np.uint64(24))
+        order = P.sorting_order(keys)
+        keys, tokens = keys[order], grams[order]
+        same = keys[1:] == keys[:-1]
+        if (same & (tokens[1:] != tokens[:-1])).any():
+            order = np.lexsort((tokens, keys))
+            keys, tokens = keys[order], tokens[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = ~same | (tokens[1:] != tokens[:-1])
+        self.tokens = tokens[fresh]
+        self.ptr = np.searchsorted(keys[fresh] >> np.uint64(40), np.arange(n + 1, dtype=np.uint64))
         self.sizes = np.diff(self.ptr)
 
     def identity(self, seed: int) -> np.ndarray:
         out = np.zeros(len(self.sizes), np.uint64)
         full = np.flatnonzero(self.sizes)
         if len(full):
-            out[full] = np.add.reduceat(S.mix(self.tokens + np.uint64(seed << TOKEN_BITS)), self.ptr[full])
+            out[full] = np.add.reduceat(S.mix(self.tokens + np.uint64(seed << 40)), self.ptr[full])
         return out
 
     def chosen(self, seed: int) -> np.ndarray:
@@ -106,10 +126,9 @@ class Sets:
         if len(full):
             hashes = S.mix(self.tokens ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
             own = np.repeat(np.arange(len(self.sizes), dtype=np.uint64), self.sizes)
-            # a piece has fewer than 2**24 texts; 40 bits of the hash order the tokens of each
-            ordered = np.sort((own << np.uint64(TOKEN_BITS)) | (hashes >> np.uint64(64 - TOKEN_BITS)))
+            ordered = P.sorting_order((own << np.uint64(40)) | (hashes >> np.uint64(24)))
             at = self.ptr[full, None] + np.minimum(np.arange(FAN), self.sizes[full, None] - 1)
-            out[full] = S.mix((ordered[at] & np.uint64((1 << TOKEN_BITS) - 1)) ^ np.uint64((seed + 1) << TOKEN_BITS))
+            out[full] = S.mix(hashes[ordered[at]] ^ np.uint64((seed + 1) << 40))
         return out
 
 
@@ -190,17 +209,32 @@ def _once(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("members", "n", "total").agg(F.min("path").alias("path")).select("path", "n", "total")
 
 
+def pack_tokens(tokens: np.ndarray) -> np.ndarray:
+    """TOKEN_BYTES bytes of each token, in rows."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+
+
+def unpack_tokens(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view("<u8").ravel()
+
+
+_ACTIVE = "sid long, size int, tokens binary, open boolean"
+
+
 def _tokens(width: int):
-    """The tokens of each set, from its text."""
-    schema = P.arrow_schema("sid long, size int, tokens binary")
+    """The tokens of each set, from its text; open: whether it is in a large bucket."""
+    schema = P.arrow_schema(_ACTIVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in P.column_batches(batches):
             for a, z, sets in _pieces(batch, width):
-                low = (sets.tokens & np.uint64(0xFFFFFFFF)).astype("<u4")
-                tokens = [low[i:j].tobytes() for i, j in zip(sets.ptr[:-1], sets.ptr[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(a, z - a), pa.array(sets.sizes, pa.int32()), pa.array(tokens, pa.binary())], schema=schema)
+                raw = pack_tokens(sets.tokens)
+                tokens = [raw[i:j].tobytes() for i, j in zip(sets.ptr[:-1], sets.ptr[1:], strict=True)]
+                sid, open_ = (batch.column(c).slice(a, z - a) for c in ("sid", "open"))
+                yield pa.RecordBatch.from_arrays([sid, pa.array(sets.sizes, pa.int32()), pa.array(tokens, pa.binary()), open_], schema=schema)
 
     return run
 
@@ -211,57 +245,84 @@ _LONGER = "sid long, size int, path long, parent long"
 def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The paths one step longer than each set's large ones."""
     np.seterr(over="ignore")
+    schema = P.arrow_schema(_LONGER)
     for batch in P.column_batches(batches):
-        out: dict[str, list] = {k: [] for k in ("sid", "size", "path", "parent")}
-        for sid, size, tokens, large in zip(*(batch.column(c).to_pylist() for c in ("sid", "size", "tokens", "large")), strict=True):
-            own = np.frombuffer(tokens, "<u4").astype(np.uint64)
-            for parent in large:
+        out: dict[str, list] = {k: [] for k in schema.names}
+        for sid, size, tokens, large in zip(*(batch.column(c) for c in ("sid", "size", "tokens", "large")), strict=True):
+            own, sid, size = unpack_tokens(tokens.as_py()), sid.as_py(), size.as_py()
+            for parent in large.as_py():
                 longer = longer_paths(own, parent % (1 << 64)).view(np.int64).tolist()
-                out["sid"] += [sid] * len(longer)
-                out["size"] += [size] * len(longer)
-                out["path"] += longer
-                out["parent"] += [parent] * len(longer)
-        yield P.frames(P.arrow_schema(_LONGER), out)
+                for name, value in zip(schema.names, ([sid] * len(longer), [size] * len(longer), longer, [parent] * len(longer)), strict=True):
+                    out[name] += value
+            if len(out["sid"]) > FLUSH_ROWS:
+                yield P.frames(schema, out)
+                out = {k: [] for k in schema.names}
+        yield P.frames(schema, out)
 
 
-_FOUND = "sid long, links long, root long"
+def _longer(active: DataFrame, open_: DataFrame) -> DataFrame:
+    asked = open_.groupBy("sid").agg(F.collect_list("path").alias("large"))
+    if open_.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+        asked = F.broadcast(asked)
+    return active.where("open").join(asked, "sid").mapInArrow(_go_on, _LONGER)
 
 
-def compare(sids: np.ndarray, sets: list[np.ndarray], paths: list[np.ndarray], path: int, sides: np.ndarray, cross: bool, threshold: Fraction) -> list[tuple[int, int, int]]:
-    """Links of the sets of one bucket that belong to `path`: (sid, links, least sid it is joined with).
+def dense_paths(active: DataFrame, open_: DataFrame) -> DataFrame:
+    """The paths of open_ (sid, path, n) whose bucket is dense: of the about PROBE sets of it that a hash
+    picks, one further token takes more than half along."""
+    pick = F.pmod(F.xxhash64(F.lit(23), "path", "sid"), F.lit(1 << 30)) < F.lit(PROBE << 30) / F.col("n")
+    probes = P.durable(open_.where(pick).select("sid", "path"))
+    taken = probes.groupBy("path").agg(F.count("*").alias("probes"))
+    most = _longer(active, probes).groupBy("parent", "path").count().groupBy(F.col("parent").alias("path")).agg(F.max("count").alias("most"))
+    return taken.join(most, "path").where(2 * F.col("most") > F.col("probes")).select("path")
 
-    cross: only pairs with different sides. A pair belongs to the least path that both have.
-    """
-    n = len(sids)
-    sizes = np.array([len(x) for x in sets])
-    keys = np.concatenate(sets).astype(np.uint64) << np.uint64(32)
-    keys |= np.repeat(np.arange(n, dtype=np.uint64), sizes)
+
+_FOUND = "sid long, links long, root long"
+
+
+def _common(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of these lists of distinct values have in common (under 2**48)."""
+    n = len(lists)
+    keys = np.concatenate(lists).astype(np.uint64) << np.uint64(16)
+    keys |= np.repeat(np.arange(n, dtype=np.uint64), [len(x) for x in lists])
     keys.sort()
-    own, keys = (keys & np.uint64(0xFFFFFFFF)).astype(np.int32), (keys >> np.uint64(32)).astype(np.uint32)
+    own, keys = (keys & np.uint64(0xFFFF)).astype(np.int32), keys >> np.uint64(16)
     begin = P.run_starts(keys)
     df = np.diff(begin, append=len(keys))
     shared = np.flatnonzero(df > 1)
-    inter = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.float32)
     for k in range(0, len(shared), COLUMNS):
         part = shared[k : k + COLUMNS]
         incidence = np.zeros((n, len(part)), np.float32)
         incidence[own[P.gather_ranges(begin[part], df[part])], np.repeat(np.arange(len(part)), df[part])] = 1
-        inter += incidence @ incidence.T
+        out += incidence @ incidence.T
+    return out
+
+
+def _share(lists: list[np.ndarray]) -> np.ndarray:
+    """Which two of these lists of paths have one in common."""
+    some = P.sorted_distinct(np.concatenate(lists))
+    return _common([np.searchsorted(some, x) for x in lists]) > 0 if len(some) else np.zeros((len(lists), len(lists)), bool)
+
+
+def compare(sids: np.ndarray, sets: list[np.ndarray], paths: list[np.ndarray], dense: list[np.ndarray], path: int | None, sides: np.ndarray, cross: bool, threshold: Fraction) -> list[tuple[int, int, int]]:
+    """The links of these sets that are counted here: (sid, links, least sid it is joined with).
+
+    cross: only pairs with different sides. path None: pairs that share a dense path; else those that share
+    none, and no small path less than `path`.
+    """
+    sizes = np.array([len(x) for x in sets])
     num, den = threshold.numerator, threshold.denominator
-    link = inter.astype(np.float64) * (num + den) >= num * (sizes[:, None] + sizes[None, :]).astype(np.float64)
+    link = _common(sets).astype(np.float64) * (num + den) >= num * (sizes[:, None] + sizes[None, :]).astype(np.float64)
     np.fill_diagonal(link, False)
     if cross:
         link &= sides[:, None] != sides[None, :]
     if not link.any():
         return []
-    lesser = [x[x < path] for x in paths]
-    some = P.sorted_distinct(np.concatenate(lesser))
-    if len(some):
-        member = np.zeros((n, len(some)), np.float32)
-        for k, x in enumerate(lesser):
-            member[k, np.searchsorted(some, x)] = 1
-        link &= member @ member.T == 0
+    met = _share(dense)
+    link &= met if path is None else ~(met | _share([x[x < path] for x in paths]))
     links = link.sum(axis=1)
+    n = len(sids)
     root = np.arange(n)
     while True:  # labels of least members, spread along links
         spread = np.minimum(root, np.where(link, root[None, :], n).min(axis=1))
@@ -272,45 +333,72 @@ def compare(sids: np.ndarray, sets: list[np.ndarray], paths: list[np.ndarray], p
     return [(int(sids[k]), int(links[k]), int(sids[root[k]])) for k in np.flatnonzero(links)]
 
 
-def _compare_bucket(threshold: Fraction):
+_UNITS = "dense boolean, path long, i int, other long, j int, side int, sid long, paths binary, homes binary, tokens binary"
+_KEY = ("dense", "path", "i", "other", "j")
+
+
+def _compare_unit(threshold: Fraction):
     schema = P.arrow_schema(_FOUND)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("sid")
-        path, i, j = (table.column(x)[0].as_py() for x in ("path", "i", "j"))
-        sets = [np.frombuffer(x, "<u4") for x in table.column("tokens").to_pylist()]
-        paths = [longs(x) for x in table.column("paths").to_pylist()]
-        found = compare(table.column("sid").to_numpy(), sets, paths, path, table.column("side").to_numpy(), i != j, threshold)
+        dense, path, i, other, j = (table.column(x)[0].as_py() for x in _KEY)
+        sets = [unpack_tokens(x) for x in table.column("tokens").to_pylist()]
+        paths, homes = ([longs(x) for x in table.column(c).to_pylist()] for c in ("paths", "homes"))
+        found = compare(table.column("sid").to_numpy(), sets, paths, homes, None if dense else path, table.column("side").to_numpy(), (path, i) != (other, j), threshold)
         return pa.Table.from_batches([P.frames(schema, {name: [r[k] for r in found] for k, name in enumerate(schema.names)})])
 
     return run
 
 
-_UNITS = "path long, i int, j int, side int, sid long, paths binary, tokens binary"
+def _chunk_of(sid: int, chunks: int) -> int:
+    return int(S.mix(np.array([sid % (1 << 64)], np.uint64))[0] % np.uint64(chunks)) if chunks > 1 else 0
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket, or pair of chunks of a large one, that a set is compared in."""
+    """One row for each comparison that a set takes part in: small buckets (large ones of tokens in pairs of
+    chunks), and the pairs of chunks of its home and the homes that meet it."""
     schema = P.arrow_schema(_UNITS)
+    np.seterr(over="ignore")
     for batch in P.column_batches(batches):
         out: dict[str, list] = {k: [] for k in schema.names}
         held = 0
-        for sid, tokens, kept in zip(*(batch.column(x).to_pylist() for x in ("sid", "tokens", "kept")), strict=True):
-            paths = _pack_longs(np.array(sorted(x["path"] for x in kept), np.int64))
-            for x in kept:
-                chunks = max(-(-x["n"] // CHUNK) if x["n"] > SMALL else 1, -(-x["total"] // CHUNK_TOKENS) if x["total"] > 2 * CHUNK_TOKENS else 1)
-                side = int(S.mix(np.array([sid % (1 << 64)], np.uint64))[0] % np.uint64(chunks)) if chunks > 1 else 0
-                for other in range(chunks):
-                    for name, value in zip(schema.names, (x["path"], min(side, other), max(side, other), side, sid, paths, tokens), strict=True):
+        for r in zip(*(batch.column(x) for x in ("sid", "tokens", "kept", "dense", "home", "met")), strict=True):
+            sid, tokens, kept, dense, home, met = (x.as_py() for x in r)
+            paths, homes = (_pack_longs(np.array(sorted(x), np.int64)) for x in ([x["path"] for x in kept or ()], dense or ()))
+            places = []  # (dense, own bucket, own chunk, other bucket, its chunks)
+            for x in kept or ():
+                chunks = -(-x["total"] // CHUNK_TOKENS) if x["total"] > 2 * CHUNK_TOKENS else 1
+                places.append((False, x["path"], _chunk_of(sid, chunks), x["path"], chunks))
+            for x in met or ():
+                places.append((True, home, _chunk_of(sid, x["own"]), x["other"], x["chunks"]))
+            for kind, own, at, other, chunks in places:
+                for j in range(chunks):
+                    a, b = min((own, at), (other, j)), max((own, at), (other, j))
+                    for name, value in zip(schema.names, (kind, *a, *b, int((own, at) != a), sid, paths, homes, tokens), strict=True):
                         out[name].append(value)
                     held += len(tokens)
-            if held > PIECE_BYTES:
-                yield P.frames(schema, out)
-                out, held = {k: [] for k in schema.names}, 0
+                    if held > PIECE_BYTES:
+                        yield P.frames(schema, out)
+                        out, held = {k: [] for k in schema.names}, 0
         if out["sid"]:
             yield P.frames(schema, out)
 
 
+def _meetings(dense: DataFrame) -> DataFrame:
+    """sid, dense (its dense paths), home and met (homes to compare it with: other, chunks of it, chunks of the
+    own home). dense: sid, path, n, size."""
+    own = P.durable(dense.groupBy("sid").agg(F.max(F.struct("n", "path")).alias("largest"), F.collect_set("path").alias("dense"), F.first("size").alias("size")))
+    own = own.select("sid", F.col("largest.path").alias("home"), "dense", "size")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.col("size").cast("long")) / CHUNK_TOKENS)).cast("int")
+    homes = own.groupBy("home").agg(chunks.alias("chunks"))
+    there = own.select("home", F.explode("dense").alias("path")).distinct()
+    pairs = there.join(there.withColumnRenamed("home", "other"), "path").select("home", "other").distinct()
+    pairs = pairs.join(homes.withColumnRenamed("chunks", "own"), "home").join(homes.withColumnRenamed("home", "other"), "other")
+    met = pairs.groupBy("home").agg(F.collect_list(F.struct("other", "chunks", "own")).alias("met"))
+    return own.join(met, "home").select("sid", "dense", "home", "met")
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th (hash of the text), set_id, class_id, n_copies and n_links of every row."""
     exact = Fraction(threshold).limit_denominator(10_000)
@@ -321,34 +409,28 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     # paths of length one, and the sets that share one
     paths = nodes.select("sid", "size", "paths").mapInArrow(_explode_paths, _EXPLODED)
     buckets = _buckets(paths)
-    small, large = _once(buckets.where(F.col("n") <= SMALL)), buckets.where(F.col("n") > SMALL)
-    columns = ["sid", "path", "n", "total", "members"]
-    live = P.durable(paths.join(small.withColumn("members", F.lit(0).cast("long")).unionByName(large), "path").select(*columns))
-    wanted = nodes.select("sid", "first.doc_id", "first.th").join(live.select("sid").distinct(), "sid")
+    chosen = _once(buckets.where(F.col("n") <= SMALL)).unionByName(buckets.where(F.col("n") > SMALL).drop("members"))
+    live = P.durable(paths.join(chosen, "path").select("sid", "path", "n", "total", "size"))
+    shared = live.groupBy("sid").agg(F.max(F.col("n") > SMALL).alias("open"))
+    wanted = nodes.select("sid", "first.doc_id", "first.th").join(shared, "sid")
     # equal rows of one doc_id and text are one; the join has brought them together
-    texts = base.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("sid").alias("sid"), F.first("text").alias("text"))
-    active = P.durable(texts.select("sid", "text").mapInArrow(_tokens(width), "sid long, size int, tokens binary"))
-    kept = live.where(F.col("n") <= SMALL).select("sid", "path", "n", "total")
-    open_ = live.where(F.col("n") > SMALL)
+    texts = base.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("sid").alias("sid"), F.first("text").alias("text"), F.first("open").alias("open"))
+    active = P.durable(texts.select("sid", "text", "open").mapInArrow(_tokens(width), _ACTIVE))
+    small, open_, dense = live.where(F.col("n") <= SMALL), live.where(F.col("n") > SMALL), live.limit(0)
     for depth in range(2, LEVELS + 1):
-        asked = open_.groupBy("sid").agg(F.collect_list("path").alias("large"))
-        level = P.durable(active.join(asked, "sid").mapInArrow(_go_on, _LONGER))
-        buckets = _buckets(level, "parent")
-        most = buckets.groupBy("parent").agg(F.max("n").alias("most"))
-        parents = open_.select("path", "n", "total", "members").distinct().join(most, F.col("path") == F.col("parent"), "left").drop("parent")
-        is_dense = 2 * F.coalesce("most", F.lit(0)) > F.col("n")
-        dense = _once(parents.where(is_dense)).select("path")
-        kept = kept.unionByName(open_.join(dense, "path", "left_semi").select("sid", "path", "n", "total"))
-        split = buckets.join(parents.where(~is_dense).select(F.col("path").alias("parent")), "parent", "left_semi").drop("parent")
-        last = depth == LEVELS
-        done = _once(split if last else split.where(F.col("n") <= SMALL)).withColumn("members", F.lit(0).cast("long"))
-        rest = split.where(F.lit(not last) & (F.col("n") > SMALL))
-        found = P.durable(level.select("sid", "path").join(done.unionByName(rest), "path").select(*columns))
-        kept = kept.unionByName(found.where(F.lit(last) | (F.col("n") <= SMALL)).select("sid", "path", "n", "total"))
-        open_ = found.where(F.lit(not last) & (F.col("n") > SMALL))
-    lists = kept.groupBy("sid").agg(F.collect_set(F.struct("path", "n", "total")).alias("kept"))
-    units = active.select("sid", "tokens").join(lists, "sid").mapInArrow(_units, _UNITS)
-    found = P.durable(units.groupBy("path", "i", "j").applyInArrow(_compare_bucket(exact), _FOUND))
+        if open_.isEmpty():
+            break
+        marked = P.durable(open_.join(dense_paths(active, open_).withColumn("dense", F.lit(True)), "path", "left"))
+        dense = dense.unionByName(marked.where("dense").drop("dense"))
+        level = P.durable(_longer(active, marked.where("dense IS NULL")))
+        buckets = _buckets(level, "parent").drop("parent")
+        chosen = _once(buckets.where(F.col("n") <= SMALL)).unionByName(buckets.where(F.col("n") > SMALL).drop("members"))
+        found = P.durable(level.drop("parent").join(chosen, "path").select("sid", "path", "n", "total", "size"))
+        small, open_ = small.unionByName(found.where(F.col("n") <= SMALL)), found.where(F.col("n") > SMALL)
+    dense = dense.unionByName(open_)  # the last level's large buckets
+    lists = small.groupBy("sid").agg(F.collect_set(F.struct("path", "n", "total")).alias("kept"))
+    compared = active.select("sid", "tokens").join(lists, "sid", "left").join(_meetings(dense), "sid", "left").where("kept IS NOT NULL OR home IS NOT NULL")
+    found = P.durable(compared.mapInArrow(_units, _UNITS).groupBy(*_KEY).applyInArrow(_compare_unit(exact), _FOUND))
     links = found.groupBy("sid").agg(F.sum("links").alias("n_links"))
     joined = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     marked = nodes.join(links, "sid", "left").join(joined.withColumnRenamed("node", "sid"), "sid", "left")
