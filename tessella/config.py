@@ -35,6 +35,14 @@ BUTTON_WORDS = (
     "P1 P2 P3 F1 F2 F3 F4 A1 A2 B1 B2 MP3 MP4 AC3 PAL NTSC SECAM MODE1 MODE2 SET1 SET2 TV1 TV2 DVD1 STB1 STB2"
 ).split()
 MODEL_MIN_LENGTH, MODEL_BOTTOM, ISOLATION, BUTTON_RADIUS, BUTTON_PENALTY, SEPARATOR = 5, 0.75, 0.12, 0.05, 0.6, 0.75
+BRAND_LENGTH, BRAND_FUZZY_LENGTH, BRAND_RATIO, BRAND_TOP, BRAND_BOTTOM, BRAND_END = 3, 6, 85.0, 0.18, 0.86, 0.15
+STAMP_LENGTH, STAMP_RATIO, STAMP_HEIGHT, STAMP_PHRASE_LENGTH, STAMP_PHRASE_RATIO = 2, 60.0, 1.3, 12, 70.0
+TEXT_TOTAL, TEXT_MARGIN = 1.0, 0.25
+BLACK_VALUE, GREY_SATURATION, WHITE_VALUE = 65, 85, 185
+HUES = (
+    ("red", 0, 8), ("red", 172, 180), ("orange", 9, 22), ("yellow", 23, 33), ("green", 34, 85), ("blue", 86, 130),
+    ("purple", 131, 158),
+)
 # --- end of fixed values -------------------------------------------------------------------------
 
 

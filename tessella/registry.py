@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("retrieval", "evaluation", "layout", "catalog", "feedback", "verification")
+MODULES = ("retrieval", "evaluation", "layout", "catalog", "feedback", "verification", "reading")
 _found: dict[str, tuple[Query, str | None]] = {}
 
 
