@@ -12,10 +12,13 @@ Five stages, each one of the operators, over all that the stage before it kept:
    column slot is the row's place in the mix, restored from the part files of stage 4.
 
 The stages but the last return the columns of documents. Each stage's rows are written as
-Parquet under the session's shared checkpoint folder and read again by the next.
+Parquet under the session's shared checkpoint folder and read again by the next. A stage's rows are deleted when the next stage's are written, the last ones' when the session ends.
 
-Edge cases are those of the operators: null and empty texts pass as empty ones, an empty table
-gives an empty result, and repeated rows of one doc_id and text become one in stage 2.
+Edge cases are those of the operators: null and empty texts pass as empty ones (where the discriminant
+keeps them), an empty table gives an empty result, repeated rows of one doc_id and text become one in
+stage 2, very long texts are rows like any other, and other columns of documents pass through, but
+for those named like the last stage's results (ids, n_tokens, ids_sha256, decoded_sha256, slot), which
+that stage replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.byte_bpe import bpe_tokens
 from tessella.llm.ngram_join import drop_near_copies
-from tessella.llm.packing import checkpoint_folder
+from tessella.llm.packing import checkpoint_folder, delete
 from tessella.llm.quality_classifier import keep_quality
 from tessella.llm.queries import bpe_vocabulary, remainder
 from tessella.llm.source_mixing import in_mix_order, mix_sources, places_in_mix
@@ -73,9 +76,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; every stage but the last is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete(spark, folder, at_exit=True)
+    read = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if read:
+                delete(spark, read)
+            read = f"{folder}/{k}-{name}"
+            docs = spark.read.parquet(read)
     return docs
