@@ -63,3 +63,36 @@ def test_run_over_many_files_returns_the_schedule(spark, sf_dir, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(files) > 3 and len(got) == len(wanted) == docs.count()
     assert {r.doc_id: r.slot for r in got} == wanted
+
+
+def with_odd_rows(spark, sf_dir, folder):
+    """The documents with nulls, repeats, a very long text and extra columns of clashing names."""
+    import random
+
+    import pyspark.sql.functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(1)
+    long = " ".join(f"word{rng.randrange(5000)} is here" for _ in range(40_000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (900_001, None, "en", "s", 0), (900_002, "", None, None, 0), (900_003, long, "en", None, len(long)), (900_004, long, "en", "s", len(long)), (900_004, long, "en", "s", len(long))], docs.schema)
+    named = {"slot": F.lit(-1), "sid": F.lit("x"), "th": F.lit(2), "row": F.lit(3), "rest": F.lit(4), "head_id": F.lit(5), "src": F.lit(6), "block": F.lit(7), "ids": F.lit(8)}
+    docs.unionByName(odd).withColumns(named).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_nulls_repeats_long_texts_and_clashing_names(spark, sf_dir, tmp_path):
+    with_odd_rows(spark, sf_dir, tmp_path)
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    got = rows.collect()
+    plain = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert {"sid", "th", "row", "rest", "head_id", "src", "ids", "slot"} <= set(rows.columns) and len(set(rows.columns)) == len(rows.columns)
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    assert {r.sid for r in got} == {"x"} and {r.head_id for r in got} == {5} and {r.src for r in got} == {6}
+    assert {d: r.ids_sha256 for d, r in plain.items()} == {r.doc_id: r.ids_sha256 for r in got if r.doc_id is not None and r.doc_id < 900_000}
+    assert sum(r.doc_id in (900_003, 900_004) for r in got) <= 1
+
+
+def test_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
