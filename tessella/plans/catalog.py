@@ -9,8 +9,9 @@ from tessella import config as C
 from tessella.functions import text as T
 from tessella.operators import catalog as K
 from tessella.registry import query
+from tessella.sources import documents as D
 
-from .views import SQL, buttons, records, table, with_
+from .views import SQL, buttons, records, table, with_, written
 
 SQL["urls"] = "urls AS (SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS path, url FROM pages)"
 SQL["titles"] = "titles AS (SELECT doc_id, source, lang, trim(split_part(text, chr(10), 1)) AS title FROM documents)"
@@ -69,6 +70,12 @@ def a5_upsert_merge(spark, sf):
     return K.upsert(c.where("c_custkey % 2 = 0"), new, "c_custkey", kept=["seg"])
 
 
+@query("""SELECT CASE WHEN o.k IS NULL THEN 'created' WHEN n.k IS NULL THEN 'stale' ELSE 'updated' END AS action, count(*) AS n
+       FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0) n ON o.k = n.k GROUP BY 1""")
+def d40_import_counts(spark, sf):
+    return a5_upsert_merge(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
+
+
 REASON = "CASE WHEN n_chars < 50 THEN 'too short: ' || n_chars WHEN text LIKE '%***%' THEN 'symbols (many)' WHEN doc_id % 17 = 0 THEN 'no body' END"
 
 
@@ -81,7 +88,9 @@ def a6_rejects(spark, sf):
 
 @query(with_("urls") + "SELECT count(*) AS wanted, count(*) FILTER (WHERE page_id % 4 = 0) AS missing FROM urls WHERE length(path) > 0")
 def a7_manifest_scan(spark, sf):
-    wanted = urls(spark, sf).where(F.length("path") > 0)
+    line = F.concat(F.col("page_id").cast("string"), F.lit(" "), "path")
+    manifest = D.read_manifest(spark, written(urls(spark, sf).select(F.when(F.length("path") > 0, line).otherwise("  ")), "manifest"))
+    wanted = manifest.select(F.get(F.split("path", " "), F.lit(0)).cast("long").alias("page_id"))
     there = table(spark, sf, "pages").where("page_id % 4 <> 0").select("page_id").withColumn("there", F.lit(True))
     return wanted.join(there, "page_id", "left").agg(F.count("*").alias("wanted"), F.count_if(F.col("there").isNull()).alias("missing"))
 
@@ -96,16 +105,15 @@ def a8_parse_snapshot(spark, sf):
 @query("SELECT DISTINCT replace(p_brand, '#', '-') AS brand FROM part WHERE p_partkey % 7 <> 0")
 def a9_brand_list(spark, sf):
     line = F.concat(F.when(F.col("p_partkey") % 7 == 0, "# ").otherwise(""), F.translate("p_brand", "#", "-"), F.lit("  # note"))
-    brand = F.trim(F.get(F.split(line, "#"), F.lit(0)))
-    return table(spark, sf, "part").select(brand.alias("brand")).where("brand <> ''").distinct()
+    return D.read_brands(spark, written(table(spark, sf, "part").select(line), "brands")).distinct()
 
 
 @query("SELECT doc_id AS rid, CAST(quality AS VARCHAR) AS identity FROM labels WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0")
 def a10_truth_parse(spark, sf):
     tab = F.lit("\t")
     row = F.concat(F.when(F.col("doc_id") % 5 == 0, "#").otherwise(""), F.col("doc_id").cast("string"), tab, F.col("quality").cast("string"), F.when(F.col("doc_id") % 7 == 0, "\textra").otherwise(""))
-    parts = table(spark, sf, "labels").select(row.alias("line")).where("line NOT LIKE '#%'").select(F.split("line", "\t").alias("p")).where(F.size("p") == 2)
-    return parts.select(F.get("p", F.lit(0)).cast("long").alias("rid"), F.get("p", F.lit(1)).alias("identity"))
+    truth = D.read_truth(spark, written(table(spark, sf, "labels").select(row), "truth"))
+    return truth.select(F.col("record_id").cast("long").alias("rid"), "identity")
 
 
 @query("SELECT d.doc_id, coalesce(l.reviewed, false) AS reviewed FROM documents d LEFT JOIN (SELECT doc_id, arg_max(quality, toxic * 10 + quality) = 1 AS reviewed FROM labels GROUP BY doc_id) l USING (doc_id)")

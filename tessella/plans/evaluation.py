@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import durable
 from tessella.functions import scoring as S
 from tessella.operators import match as M
+from tessella.operators.ranks import percentile, values_at
 from tessella.registry import query
 
 from .retrieval import ANSWERS, BAND, FUSED, HITS, answers, fused, hits
@@ -24,9 +26,10 @@ def d19_recall(spark, sf):
 
 @query(with_(*HITS) + "SELECT rid = qid AS same, round(min(score), 6) AS low, round(median(score), 6) AS mid, round(max(score), 6) AS high, count(*) AS n FROM hits GROUP BY 1")
 def d20_separation(spark, sf):
-    return hits(spark, sf).groupBy((F.col("rid") == F.col("qid")).alias("same")).agg(
-        F.round(F.min("score"), 6).alias("low"), F.round(F.median("score"), 6).alias("mid"), F.round(F.max("score"), 6).alias("high"), F.count("*").alias("n")
-    )
+    rows = durable(hits(spark, sf).select((F.col("rid") == F.col("qid")).alias("same"), "score"))
+    ends = rows.groupBy("same").agg(F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"), F.count("*").alias("n"))
+    middle = [(same, percentile(rows.where(F.col("same") == same), "score", 0.5)) for same in (False, True)]
+    return ends.join(F.broadcast(spark.createDataFrame(middle, "same boolean, mid double")), "same").withColumn("mid", F.round("mid", 6))
 
 
 @query(with_(*HITS) + "SELECT qid, round(max(score) FILTER (WHERE rid = qid), 6) AS self_score, round(max(score) FILTER (WHERE rid <> qid), 6) AS decoy_score FROM hits GROUP BY qid")
@@ -43,8 +46,11 @@ def d21_mean_separation(spark, sf):
 
 @query(with_(*ANSWERS, "s AS (SELECT list_sort(list(top)) AS v, count(*) AS n FROM answers)") + "SELECT v[least(n - 1, CAST(floor(0.1 * n) AS BIGINT)) + 1] AS q10, v[least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) + 1] AS q50, v[least(n - 1, CAST(floor(0.9 * n) AS BIGINT)) + 1] AS q90 FROM s")
 def d23_quantiles(spark, sf):
-    kept = answers(spark, sf).agg(F.collect_list("top").alias("v"))
-    return kept.select(*[S.index_quantile(F.col("v"), f).alias(f"q{int(100 * f)}") for f in (0.1, 0.5, 0.9)])
+    top = durable(answers(spark, sf).select("top"))
+    n = top.count()
+    ranks = {f"q{p}": min(n - 1, int(p / 100 * n)) for p in (10, 50, 90)}
+    found = values_at(top, "top", list(ranks.values()))
+    return spark.createDataFrame([tuple(found[k] for k in ranks.values())], ", ".join(f"{name} double" for name in ranks))
 
 
 @query(with_(*ANSWERS) + f"SELECT band, count(*) AS n, sum(ok::INTEGER)::BIGINT AS correct, round(avg(ok::INTEGER), 6) AS precision FROM (SELECT {BAND} AS band, top_rid = qid AS ok FROM answers) GROUP BY band")
@@ -104,9 +110,11 @@ def d27_drift(spark, sf):
 
 @query(with_("buttons", "records", "s AS (SELECT list_sort(list(quality)) AS v, count(*) AS n, round(avg(quality), 6) AS mean FROM records)") + "SELECT round(v[1], 6) AS low, round(v[n // 2 + 1], 6) AS mid, round(v[n], 6) AS high, mean FROM s")
 def d13_distribution(spark, sf):
-    kept = records(spark, sf).agg(F.array_sort(F.collect_list("quality")).alias("v"), F.round(F.avg("quality"), 6).alias("mean"))
-    n = F.size("v")
-    return kept.select(F.round(F.get("v", F.lit(0)), 6).alias("low"), F.round(F.get("v", F.floor(n / 2).cast("int")), 6).alias("mid"), F.round(F.get("v", n - 1), 6).alias("high"), "mean")
+    rows = durable(records(spark, sf).select("quality"))
+    n = rows.count()
+    found = values_at(rows, "quality", [0, n // 2, n - 1])
+    one = rows.agg(F.round(F.avg("quality"), 6).alias("mean"))
+    return one.select(*[F.round(F.lit(found[k]), 6).alias(name) for name, k in (("low", 0), ("mid", n // 2), ("high", n - 1))], "mean")
 
 
 @query(with_("buttons", "records") + "SELECT count(*) AS records, count(brand) AS with_brand, count(code) AS with_code, count(*) FILTER (WHERE n_buttons = 0) AS empty, round(100 * count(code) / count(*), 6) AS code_percent FROM records")
@@ -119,9 +127,12 @@ def d14_coverage(spark, sf):
 
 @query(with_("buttons", "records") + "SELECT code, n, array_to_string(rids[1:4], ',') || CASE WHEN n > 4 THEN '...' ELSE '' END AS owners FROM (SELECT code, count(*) AS n, list_sort(list(rid)) AS rids FROM records WHERE code IS NOT NULL GROUP BY code HAVING count(*) > 1) ORDER BY n DESC, code LIMIT 15")
 def d15_duplicate_codes(spark, sf):
-    groups = records(spark, sf).where("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("rid")), 1, 4).alias("rids")).where("n > 1")
-    owners = F.concat(F.array_join(F.col("rids").cast("array<string>"), ","), F.when(F.col("n") > 4, "...").otherwise(""))
-    return groups.orderBy(F.desc("n"), "code").limit(15).select("code", "n", owners.alias("owners"))
+    rows = records(spark, sf).where("code IS NOT NULL").select("code", "rid")
+    worst = rows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "code").limit(15)
+    place = F.row_number().over(Window.partitionBy("code").orderBy("rid"))
+    shown = rows.join(F.broadcast(worst), "code").withColumn("place", place).where("place <= 4")
+    owners = F.array_join(F.sort_array(F.collect_list("rid")).cast("array<string>"), ",")
+    return shown.groupBy("code", "n").agg(owners.alias("owners")).select("code", "n", F.concat("owners", F.when(F.col("n") > 4, "...").otherwise("")).alias("owners"))
 
 
 @query(with_("buttons") + "SELECT color, count(*) AS n, round(count(*) / (SELECT count(*) FROM buttons), 6) AS share FROM buttons GROUP BY color")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.checkpoints import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +56,13 @@ def records(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) ->
     )
 
 
+def written(lines: DataFrame, name: str) -> str:
+    """A column of text as files of lines in the shared folder, for readers to read."""
+    folder = f"{shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.toDF("value").write.text(folder)
+    return folder
+
+
 SQL = {
     "buttons": """buttons AS (
         SELECT o_custkey AS rid,
