@@ -19,8 +19,8 @@ In a batch, only the distinct n-grams are looked up, and a text's sum is a sum o
 values.
 
 Edge cases: a null text and one without a letter get `und`, score 0, and are not accepted. With
-no labelled rows every text gets `und`. Repeated rows are predicted alike. The key may be null.
-Other columns are not read.
+no labelled rows every text gets `und`. Repeated rows are predicted alike. The key may be null. A very long
+text is read whole; an empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -57,7 +57,9 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
     ptr = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], np.cumsum(sizes)))]
-    return np.where(is_letter, np.minimum(points, 0xFFFF), 0)[keep].astype(np.int64), ptr
+    # letters beyond 16 bits share the 6,400 numbers of the private use area, where no letter is
+    points = np.where(points > 0xFFFF, 0xE000 + points % 6400, points)
+    return np.where(is_letter, points, 0)[keep].astype(np.int64), ptr
 
 
 def grams(values: np.ndarray, ptr: np.ndarray, base: int) -> np.ndarray:

@@ -143,3 +143,10 @@ def test_ties_go_to_the_first_name_and_long_texts_are_read_whole(spark):
     model = LanguageModel({"b": same, "a": same})
     e = model.entropies(["abc"])
     assert model.names == ["a", "b"] and e[0, 0] == e[0, 1] and e[0].argmin() == 0
+
+
+def test_letters_beyond_sixteen_bits_are_told_apart(spark):
+    rows = [(k, "".join(chr(0x10330 + j) for j in range(8)) + " " + chr(0x10331) * 3, "got") for k in range(30)] + [(k, "".join(chr(0x10400 + j) for j in range(8)) + " " + chr(0x10402) * 3, "dsr") for k in range(30, 60)]
+    docs = spark.createDataFrame([*rows, (100, chr(0x10331) * 6, None), (101, chr(0x10402) * 6, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify_language(docs, F.lit(True)).collect()}
+    assert (got[100], got[101]) == ("got", "dsr")
