@@ -157,6 +157,13 @@ class TokenIndex:
         held = self.tokens.join(self.usable().select("token"), "token").groupBy("doc").agg(F.collect_list(F.xxhash64("token")).alias("tokens"))
         self.packed = durable(held.join(self.norms, "doc").select("doc", "norm", "tokens"))
 
+    def readable(self) -> bool:
+        """Whether the files of its tables are still there."""
+        try:
+            return all(t.limit(1).count() >= 0 for t in (self.tokens, self.stats, self.norms, self.packed))
+        except Exception:  # Spark's error for lost files differs by the place that meets it
+            return False
+
     def usable(self) -> DataFrame:
         return usable_tokens(self.stats, self.n_docs)
 

@@ -90,9 +90,9 @@ _indexes: dict[tuple[str, str], I.TokenIndex] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> I.TokenIndex:
-    """The index of the records, built once for each session and folder."""
+    """The index of the records, built once for each session and folder, and again if its files are gone."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
+    if key not in _indexes or not _indexes[key].readable():
         _indexes[key] = I.TokenIndex(buttons(spark, sf_dir), F.col("rid") % 7 == 0)
     return _indexes[key]
 

@@ -179,6 +179,18 @@ def test_scores_by_blocks_equal_a_plain_sum(spark, monkeypatch):
     assert index.scores(asked.limit(0)).count() == 0
 
 
+def test_an_index_whose_files_are_gone_is_built_again(spark, sf_dir):
+    import shutil
+
+    from tessella.plans import retrieval
+
+    first = retrieval.index(spark, sf_dir)
+    assert retrieval.index(spark, sf_dir) is first
+    shutil.rmtree(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    again = retrieval.index(spark, sf_dir)
+    assert again is not first and again.readable()
+
+
 def test_fuzzy_codes_find_every_pair_within_two_edits(spark):
     rng = random.Random(9)
     codes = sorted({"".join(rng.choice("AB12") for _ in range(rng.randrange(1, 6))) for _ in range(80)} | {"RM150", "RM250", "150", ""})
