@@ -1,8 +1,8 @@
 """Nearest neighbours by cosine with additive quantisation.
 
 A unit vector is approximated by a sum of one codeword from each of BOOKS full-dimensional
-codebooks. The codebooks start as residual k-means and are then improved by least squares with
-the codes held fixed. Encoding is a beam search: after each book the BEAM best partial sums go
+codebooks. The codebooks start as residual k-means and are then improved by least squares (book by
+book, in sweeps) with the codes held fixed. Encoding is a beam search: after each book the BEAM best partial sums go
 on. A row of the index is its id, its codes (a byte a book), the norm of the sum and a hash of the vector.
 
 A query makes one table of inner products with all codewords; an index row's approximate cosine
@@ -83,20 +83,23 @@ class AdditiveQuantiser:
         for _ in range(rounds):
             self._refit(x, self.encode(x))
 
-    def _refit(self, x: np.ndarray, codes: np.ndarray) -> None:
-        """Least squares for all codewords at once: the normal equations count co-occurring codes."""
-        m, k, _ = self.books.shape
-        at = codes.astype(np.int64) + np.arange(m) * k
-        gram = np.zeros((m * k, m * k))
-        right = np.zeros((m * k, x.shape[1]))
-        for a in range(m):
-            np.add.at(right, at[:, a], x)
-            for b in range(m):
-                np.add.at(gram, (at[:, a], at[:, b]), 1.0)
-        # the ridge holds codewords that few rows use near where they were
-        ridge = 0.1
-        gram[np.diag_indices(m * k)] += ridge
-        self.books = np.linalg.solve(gram, right + ridge * self.books.reshape(m * k, -1)).reshape(self.books.shape)
+    def _refit(self, x: np.ndarray, codes: np.ndarray, sweeps: int = 12, ridge: float = 0.1) -> None:
+        """Least squares for all codewords, one book after the other with the rest held, sweep by sweep; so the
+        normal equations of all books at once, which take the square of the codewords, are never held. The
+        ridge holds codewords that few rows use near where they were."""
+        at = codes.astype(np.intp)
+        rest = x - self.decode(codes)
+        dealt = []
+        for m in range(len(self.books)):
+            order = np.argsort(at[:, m], kind="stable")
+            n = np.bincount(at[:, m], minlength=self.books.shape[1])
+            full = np.flatnonzero(n)
+            dealt.append((order, n, full, (np.cumsum(n) - n)[full]))
+        for _ in range(sweeps):
+            for words, own, (order, n, full, begin) in zip(self.books, at.T, dealt, strict=True):
+                rest += words[own]
+                words[full] = (np.add.reduceat(rest[order], begin, axis=0) + ridge * words[full]) / (n[full, None] + ridge)
+                rest -= words[own]
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         books = self.books.astype(np.float32)
