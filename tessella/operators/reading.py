@@ -121,8 +121,13 @@ def colour_name(hue: Column, saturation: Column, value: Column) -> Column:
 
 def affected_stems(records: DataFrame, floor: float) -> DataFrame:
     """stem and n: photos none of whose crops is the full frame and whose crops' areas add up to less than the
-    floor. records: record_id, area_frac, full_frame."""
+    floor. records: record_id, area_frac, full_frame.
+
+    The areas are added in the order of the crops (numbers in record_id by value), so that a sum near the floor does
+    not hang on the order in which tasks finish."""
+    crop = F.struct(F.length("record_id").alias("length"), "record_id", F.coalesce("area_frac", F.lit(0.0)).alias("area"))
     photos = records.groupBy(record_stem(F.col("record_id")).alias("stem")).agg(
-        F.count("*").alias("n"), F.bool_or(F.coalesce("full_frame", F.lit(False))).alias("whole"), F.sum(F.coalesce("area_frac", F.lit(0.0))).alias("total")
+        F.count("*").alias("n"), F.bool_or(F.coalesce("full_frame", F.lit(False))).alias("whole"), F.sort_array(F.collect_list(crop)).alias("crops")
     )
-    return photos.where((~F.col("whole")) & (F.col("total") < floor)).select("stem", "n")
+    total = F.aggregate("crops", F.lit(0.0), lambda sofar, c: sofar + c["area"])
+    return photos.where((~F.col("whole")) & (total < floor)).select("stem", "n")

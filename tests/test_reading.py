@@ -81,6 +81,15 @@ def test_photos_below_the_floor(spark):
     assert {(r.stem, r.n) for r in got} == {("a", 2), ("d", 1)}
 
 
+def test_areas_are_added_in_the_order_of_the_crops(spark):
+    """0.6 + 0.3 + 0.1 is 0.9999999999999999 in this order and 1.0 in the other."""
+    rows = [("a_2", 0.6, False), ("a_9", 0.3, False), ("a_10", 0.1, False), ("b_2", 0.1, False), ("b_9", 0.3, False), ("b_10", 0.6, False)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1], rows[4:] + rows[:4]):
+        df = spark.createDataFrame(order, "record_id string, area_frac double, full_frame boolean")
+        for parts in (1, 3):
+            assert [r.stem for r in R.affected_stems(df.repartition(parts), 1.0).collect()] == ["a"]
+
+
 def test_orientation_and_colour(spark):
     rows = [(0.2, 0.1, True, True, 0.1), (3.0, 1.0, True, True, 0.1), (1.0, 3.0, False, True, 0.1), (2.0, 2.1, True, False, 0.7), (0.0, 0.0, False, True, 0.0)]
     df = spark.createDataFrame(rows, "up double, down double, flip boolean, ambiguous boolean, confidence double")
