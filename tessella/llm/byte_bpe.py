@@ -262,6 +262,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", to:
         parts = []
         for ids, bounds in codec(path, pattern).encode_texts(column.to_pylist()):
             parts.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view("<i4"), pa.int32())))
+        P.give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(to, encode(text))
@@ -323,6 +324,7 @@ def bpe_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     @F.arrow_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
     def encode(column: pa.Array) -> pa.Array:
         parts = [pa.StructArray.from_arrays([ids, *digests], fields=list(kind)) for ids, digests in _digest_batch(codec(path, pattern), column.to_pylist())]
+        P.give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     made = [f.name for f in kind]

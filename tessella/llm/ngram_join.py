@@ -416,6 +416,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     # equal rows of one doc_id and text are one; the join has brought them together
     texts = base.join(wanted, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("sid").alias("sid"), F.first("text").alias("text"), F.first("open").alias("open"))
     active = P.durable(texts.select("sid", "text", "open").mapInArrow(_tokens(width), _ACTIVE))
+    del paths, buckets, chosen, shared, wanted, texts
+    P.release(docs.sparkSession)
     small, open_, dense = live.where(F.col("n") <= SMALL), live.where(F.col("n") > SMALL), live.limit(0)
     for depth in range(2, LEVELS + 1):
         if open_.isEmpty():
@@ -431,11 +433,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     lists = small.groupBy("sid").agg(F.collect_set(F.struct("path", "n", "total")).alias("kept"))
     compared = active.select("sid", "tokens").join(lists, "sid", "left").join(_meetings(dense), "sid", "left").where("kept IS NOT NULL OR home IS NOT NULL")
     found = P.durable(compared.mapInArrow(_units, _UNITS).groupBy(*_KEY).applyInArrow(_compare_unit(exact), _FOUND))
+    del active, live, small, open_, dense, lists, compared
+    P.release(docs.sparkSession)
     links = found.groupBy("sid").agg(F.sum("links").alias("n_links"))
     joined = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     marked = nodes.join(links, "sid", "left").join(joined.withColumnRenamed("node", "sid"), "sid", "left")
     marked = marked.select("sid", "check", "first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "sid").alias("component"))
     marked = P.durable(marked)
+    del nodes, found, links, joined
+    P.release(docs.sparkSession)
     classes = marked.groupBy("component").agg(F.min("first").alias("head"))
     marked = marked.join(classes, "component").select("sid", "check", "first", "head", "n_copies", "n_links")
     out = described.join(marked, ["sid", "check"], "left")

@@ -7,6 +7,9 @@ that has entries.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,8 +147,18 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system. Spark keeps workers for later tasks, and what they
+    keep counts beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def column_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+    """The batches that have rows; memory is given back after the last."""
+    yield from (b for b in batches if b.num_rows)
+    give_back()
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
@@ -192,3 +205,12 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder, so lost executors lose nothing."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles and checkpoints that nothing refers to any more: it does when the driver
+    collects garbage, what one collection sets free at the next."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)

@@ -362,6 +362,7 @@ def _finish(window: int, cut_text: bool):
             kept = _cut(text.slice(a, z - a), found, gone, removed) if cut_text else pa.array(_digests(found, gone))
             fields = [pa.array(np.diff(found.ptr)), pa.array(removed), pa.array(_spans(gone, found.ptr), kind.field("spans").type), kept]
             parts.append(pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(fields, kind, strict=True)], fields=list(kind)))
+        P.give_back()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return run

@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
 import pytest
 
 from tessella.llm import ngram_join as J
+from tessella.llm import packing as P
 from tessella.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,3 +123,16 @@ def test_the_registered_recall_takes_three_runs():
     assert J.RECALL >= 1 - 1e-6 and J.runs_for(J.RECALL, J.THRESHOLD) == 3
     missed = (1 - (1 - (1 - J.THRESHOLD) ** J.FAN) ** J.LEVELS) ** J.runs_for(J.RECALL, J.THRESHOLD)
     assert missed <= 1e-6
+
+
+def test_no_shuffle_outlives_its_use(spark):
+    """When the classes are known, the shuffles that led to them are gone, not only when the driver next needs memory."""
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    P.release(spark)
+    before = kept.size()
+    out = J.ngram_join(spark.createDataFrame([(k, " ".join(f"w{(k // 2 + j) % 50}" for j in range(40))) for k in range(60)], "doc_id long, text string"))
+    until = time.time() + 10
+    while kept.size() - before > 8 and time.time() < until:
+        time.sleep(0.2)
+    assert kept.size() - before <= 8
+    assert out.count() == 60

@@ -1,3 +1,8 @@
+import os
+import platform
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 
@@ -42,3 +47,25 @@ def test_word_hashes_do_not_hang_on_the_parts_they_are_worked_out_in(monkeypatch
             monkeypatch.setattr(S, "HASH_BYTES", size)
             assert (found.word_hashes() == want).all()
     assert len(set(want.tolist())) <= 6
+
+
+_HEAP = """
+import re
+from tessella.llm import packing as P
+
+def held():
+    return sum(map(int, re.findall("Pss_Anon: *([0-9]+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+before = held()
+made = [bytes(2000) for _ in range(100_000)]
+kept = made[::100]  # the heap cannot shrink from its end
+del made
+assert list(P.column_batches(iter([]))) == []
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup") or platform.libc_ver()[0] != "glibc", reason="needs glibc's heap and its figures")
+def test_freed_memory_is_given_back():
+    """Of 200 MB, 2 are in use; without giving back the process keeps them all."""
+    assert int(subprocess.run([sys.executable, "-c", _HEAP], capture_output=True, text=True, check=True).stdout) < 50
