@@ -13,7 +13,8 @@ broadcast. The texts are dealt into batches of about BATCH_BYTES by a hash. A ba
 own distinct n-grams: one packed row for each hash bucket, with the hashes and the counts that
 the batch's training texts add. A bucket sums up the counts and answers each batch in the order
 of its question, so an answer is one small number an n-gram. With the answers, a batch builds
-the part of the automaton that its texts can reach and traverses it, all texts side by side. A word
+the part of the automaton that some of its texts (of about TOGETHER tokens) can reach and traverses it,
+these texts side by side, then that of the next. A word
 that stands in every text costs one entry a batch. The text is shuffled once (both uses share the
 exchange).
 
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ BATCH_BYTES = 16 << 20
 BUCKET_WORDS = 1_000_000
 FLUSH_WORDS = 2_000_000
 PIECE_BYTES = 1 << 20
+RUN, TOGETHER = 1 << 16, 1 << 19
 HASH_BITS = 48
 SEGMENT = 512
 END, BEGIN = np.uint64(0x1D2B4E6F9A8C7031), np.uint64(0x7F3C9E51B2D4A687)
@@ -130,52 +133,107 @@ def corpus_size(texts: DataFrame, buckets: Buckets) -> tuple[int, int]:
     return int(r[0] or 0), int(r[1] or 0)
 
 
-def merged_order(levels: list[np.ndarray], buckets: Buckets) -> np.ndarray:
-    """The order that sorts the keys of all levels, end to end; the same for the question and its answer."""
-    return P.sorting_order(np.concatenate(levels), buckets.log2 + buckets.bits)
+def gram_keys(tokens: np.ndarray, ptr: np.ndarray, n: int, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each n-gram of the texts and the token it ends at; worked out for texts of about RUN tokens at a time."""
+    if n == 1:
+        return buckets.keys(tokens), np.arange(len(tokens), dtype=np.int32)
+    size = int(np.maximum(np.diff(ptr) - n + 1, 0).sum())
+    keys, ends, at = np.empty(size, np.uint64), np.empty(size, np.int32), 0
+    for a, z in S.pieces(ptr, RUN):
+        hashes, first = S.window_hashes(tokens[ptr[a] : ptr[z]], ptr[a : z + 1] - ptr[a], n)
+        part = slice(at, at + len(hashes))
+        keys[part], ends[part] = buckets.keys(hashes), first + (ptr[a] + n - 1)
+        at = part.stop
+    return keys, ends
+
+
+def merging(levels: list[np.ndarray], buckets: Buckets) -> Iterator[tuple[slice, list[slice], np.ndarray]]:
+    """How the sorted keys of all levels merge, about RUN at a time: where they come to lie, where they lie in each
+    level, and the order that sorts them when these are put end to end. The same for the question and its answer."""
+    bits, at = buckets.log2 + buckets.bits, 0
+    log2 = min(bits, (sum(map(len, levels)) // RUN).bit_length())
+    edges = np.arange(1, 1 << log2, dtype=np.uint64) << np.uint64(bits - log2)
+    cuts = [np.concatenate(([0], np.searchsorted(k, edges), [len(k)])).tolist() for k in levels]
+    for k in range(1 << log2):
+        own = [slice(c[k], c[k + 1]) for c in cuts]
+        by = P.sorting_order(np.concatenate([x[o] for x, o in zip(levels, own, strict=True)]), bits)
+        yield slice(at, at + len(by)), own, by
+        at += len(by)
 
 
 def question(column: pa.Array, train: np.ndarray, order: int, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of the n-grams of each level, sorted, and how often the training texts have each."""
     tokens, ptr = token_hashes(column, True)
-    held = np.repeat(~train, np.diff(ptr)).astype(np.uint64)
+    held = np.repeat(~train, np.diff(ptr))
     levels, counts = [], []
     for n in range(1, order + 1):
-        hashes, at = (tokens, np.arange(len(tokens))) if n == 1 else S.window_hashes(tokens, ptr, n)
-        marked = np.sort((buckets.keys(hashes) << np.uint64(1)) | held[at])
-        keys = marked >> np.uint64(1)
-        begin = P.run_starts(keys)
-        levels.append(keys[begin])
-        counts.append(np.add.reduceat((marked & np.uint64(1)) == 0, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64))
-    by = merged_order(levels, buckets)
-    return np.concatenate(levels)[by], np.concatenate(counts)[by]
+        marked, ends = gram_keys(tokens, ptr, n, buckets)
+        marked <<= np.uint64(1)
+        marked |= held[ends]
+        del ends
+        marked.sort()
+        trained = marked.astype(np.uint8) & 1 == 0
+        marked >>= np.uint64(1)
+        begin = P.run_starts(marked)
+        levels.append(marked[begin])
+        counts.append(np.add.reduceat(trained, begin, dtype=np.uint32) if len(begin) else np.zeros(0, np.uint32))
+        del marked, trained, begin
+    del tokens, held
+    keys, trained = (np.empty(sum(map(len, x)), x[0].dtype) for x in (levels, counts))
+    for at, own, by in merging(levels, buckets):
+        for out, x in ((keys, levels), (trained, counts)):
+            out[at] = np.concatenate([y[o] for y, o in zip(x, own, strict=True)])[by]
+    return keys, trained
 
 
 class Grams:
     """The distinct n-grams of a run of texts, level by level: `at[n - 1]` has for each token the number of the
-    n-gram that ends there (-1 where the text has fewer tokens), `last[n - 1]` a token that each ends at."""
+    n-gram that ends there (-1 where the text has fewer tokens)."""
 
     def __init__(self, column: pa.Array, order: int, buckets: Buckets) -> None:
         tokens, self.ptr = token_hashes(column, True)
-        self.buckets, self.keys, self.at, self.last = buckets, [], [], []
+        self.buckets, self.keys, self.at = buckets, [], []
         for n in range(1, order + 1):
-            keys, first = (tokens, np.arange(len(tokens))) if n == 1 else S.window_hashes(tokens, self.ptr, n)
-            keys = buckets.keys(keys)
+            keys, ends = gram_keys(tokens, self.ptr, n, buckets)
+            if n == order:
+                del tokens
             by = P.sorting_order(keys, buckets.log2 + buckets.bits)
-            keys, ends = keys[by], (first[by] + n - 1).astype(np.int32)
-            del by, first
+            keys = keys[by]
+            ends = ends[by]
+            del by
             begin = P.run_starts(keys)
-            at = np.full(len(tokens), -1, np.int32)
+            at = np.full(self.ptr[-1], -1, np.int32)
             at[ends] = np.repeat(np.arange(len(begin), dtype=np.int32), np.diff(begin, append=len(keys)))
             self.keys.append(keys[begin])
             self.at.append(at)
-            self.last.append(ends[begin])
+            del keys, ends, begin
+
+    def part(self, first: int, last: int, counts: list[np.ndarray]) -> tuple[Grams, list[np.ndarray]]:
+        """The n-grams of the texts from first to before last, without their keys, and their counts."""
+        out = Grams.__new__(Grams)
+        out.ptr = self.ptr[first : last + 1] - self.ptr[first]
+        out.buckets, out.keys, out.at, found = self.buckets, [], [], []
+        for at, c in zip(self.at, counts, strict=True):
+            at = at[self.ptr[first] : self.ptr[last]]
+            there = np.zeros(len(c) + 1, bool)  # one more for the tokens without an n-gram
+            there[at] = True
+            there[-1] = False
+            number = np.cumsum(there, dtype=np.int32)
+            number -= 1
+            number[-1] = -1
+            out.at.append(number[at])
+            found.append(c[there[:-1]])
+        return out, found
 
     def dealt(self, answer: np.ndarray) -> list[np.ndarray]:
         """Counts in the order of the question, by level."""
-        out = np.empty(len(answer), np.int64)
-        out[merged_order(self.keys, self.buckets)] = answer
-        return np.split(out, np.cumsum([len(k) for k in self.keys])[:-1])
+        out = [np.empty(len(k), answer.dtype) for k in self.keys]
+        for at, own, by in merging(self.keys, self.buckets):
+            part = np.empty(len(by), answer.dtype)
+            part[by] = answer[at]
+            for x, o, y in zip(out, own, np.split(part, np.cumsum([o.stop - o.start for o in own])[:-1]), strict=True):
+                x[o] = y
+        return out
 
 
 class BackoffAutomaton:
@@ -201,7 +259,9 @@ class BackoffAutomaton:
         weights, targets, arcs = [], [], 0
         p = (counts[0] + 1.0) / (total + distinct + 1)
         for n in range(1, order + 1):
-            c, last = counts[n - 1], grams.last[n - 1]
+            c, ends = counts[n - 1], np.flatnonzero(grams.at[n - 1] >= 0)
+            last = np.empty(len(c), np.int32)  # a token that each n-gram ends at
+            last[grams.at[n - 1][ends]] = ends
             seen = np.flatnonzero(c > 0)
             fails = np.zeros(len(seen), np.int32)
             if n > 1:
@@ -268,14 +328,17 @@ def _ask(order: int, buckets: Buckets):
 
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        table = table.combine_chunks()
         batch = table.column("batch")[0].as_py()
         keys, counts = question(table.column("text"), np.asarray(table.column("train")), order, buckets)
         out: dict[str, list] = {k: [] for k in schema.names}
         for b, part, packed in buckets.packed(keys):
             for name, value in zip(schema.names, (b, batch, packed, P.pack_counts(counts[part])), strict=True):
                 out[name].append(value)
-        return pa.Table.from_batches([P.frames(schema, out)])
+        del keys, counts
+        made = pa.Table.from_batches([P.frames(schema, out)])
+        out.clear()
+        P.give_back()
+        return made
 
     return run
 
@@ -299,18 +362,30 @@ def _answer(table: pa.Table) -> pa.Table:
 def _score(order: int, buckets: Buckets, total: int, distinct: int, strength: float, names: list[str]):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        texts = texts.combine_chunks()
         grams = Grams(texts.column("text"), order, buckets)
-        answers = answers.sort_by("bucket")
-        counts = grams.dealt(np.concatenate([P.unpack_counts(x) for x in answers.column("counts").to_pylist()]))
-        automaton = BackoffAutomaton(grams, counts, total, distinct, strength)
-        begin = grams.ptr[:-1]
-        own = counts[0][grams.at[0]]
-        base, known = np.log10((own + 1.0) / (total + distinct + 1)), (own > 0).astype(np.int64)
-        base[begin] = known[begin] = 0  # the begin mark is no token
-        sums = [np.add.reduceat(x, begin) for x in (automaton.traverse(grams.ptr), base, known)]
-        n = len(begin)
-        columns = [texts.column("key"), texts.column("train"), pa.array(np.diff(grams.ptr) - 1), pa.array(sums[2]), pa.array(np.full(n, total)), pa.array(sums[1]), pa.array(sums[0])]
+        packed = answers.column("counts").take(pc.sort_indices(answers.column("bucket"))).to_pylist()
+        answer, at = np.empty(sum(map(len, grams.keys)), np.uint32), 0
+        for part in map(P.unpack_counts, packed):
+            answer[at : at + len(part)] = part
+            at += len(part)
+        assert at == len(answer), "an answer has a count for each n-gram asked"
+        del packed
+        counts = grams.dealt(answer)
+        grams.keys.clear()
+        del answer
+        sizes = np.diff(grams.ptr) - 1
+        known, base, score = np.empty(len(sizes), np.int64), np.empty(len(sizes)), np.empty(len(sizes))
+        for first, last in S.pieces(grams.ptr, TOGETHER):
+            some, own = grams.part(first, last, counts)
+            begin, words = some.ptr[:-1], some.at[0]
+            values = BackoffAutomaton(some, own, total, distinct, strength).traverse(some.ptr)
+            for out, value in ((score, values), (base, np.log10((own[0] + 1.0) / (total + distinct + 1))[words]), (known, (own[0] > 0).astype(np.int64)[words])):
+                value[begin] = 0  # the begin mark is no token
+                out[first:last] = np.add.reduceat(value, begin)
+            del some, own, words, values, value
+        del grams, counts
+        P.give_back()
+        columns = [texts.column("key"), texts.column("train"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(score)]
         return pa.Table.from_arrays(columns, names=names)
 
     return run

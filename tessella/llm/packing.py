@@ -109,8 +109,13 @@ def sorting_order(keys: np.ndarray, bits: int = 64) -> np.ndarray:
     if n < 2:
         return np.zeros(n, np.int64)
     mask = np.uint64((1 << n.bit_length()) - 1)
-    order = np.sort((keys << np.uint64(64 - bits)) & ~mask | np.arange(n, dtype=np.uint64))
-    order = (order & mask).astype(np.int64)
+    order = keys << np.uint64(64 - bits)
+    order &= ~mask
+    for a in range(0, n, 1 << 16):
+        order[a : a + (1 << 16)] |= np.arange(a, min(n, a + (1 << 16)), dtype=np.uint64)
+    order.sort()
+    order &= mask
+    order = order.view(np.int64)
     ordered = keys[order]
     while len(wrong := np.flatnonzero(ordered[1:] < ordered[:-1])):
         wrong = wrong[np.diff(wrong, prepend=-2) > 1]

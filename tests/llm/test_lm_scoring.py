@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -152,3 +153,55 @@ def test_a_very_long_text_scores_as_its_tokens_do(spark):
     got = {r.doc_id: r for r in score_texts(docs, F.col("doc_id") != 100).collect()}
     want = brute(rows, set(range(20)), 3, 200.0)[100]
     assert (got[100].n_tokens, got[100].n_known) == want[:2] and math.isclose(got[100].score, want[-1], rel_tol=1e-9)
+
+
+def scored_batch(rows, trained, order, k):
+    """key -> n_known, base_score and score, by the functions of the workers, one after the other."""
+    with np.errstate(over="ignore"):
+        buckets = L.Buckets(4)
+        keys, texts_ = zip(*rows, strict=True)
+        marks = np.array([d in trained for d in keys])
+        table = pa.table({"batch": np.zeros(len(rows), np.int64), "key": pa.array(keys), "train": marks, "text": pa.array(texts_, pa.string())})
+        learnt = [w for d, t in rows if d in trained for w in tokens(t)]
+        total, distinct = len(learnt), len(set(learnt))
+        answers = L._ask(order, buckets)(table)
+        out = L._score(order, buckets, total, distinct, k, ["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])(table, answers.take(list(reversed(range(len(answers))))))
+    return {r["key"]: (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out.to_pylist()}
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize(("run", "together"), [(1, 1), (40, 150), (1 << 16, 1 << 19)])
+def test_runs_of_texts_score_as_the_whole_batch(monkeypatch, order, run, together):
+    monkeypatch.setattr(L, "RUN", run)
+    monkeypatch.setattr(L, "TOGETHER", together)
+    rows = texts()
+    trained = {d for d, _ in rows if d % 7 != 2 and d != 82}
+    want, got = brute(rows, trained, order, 10.0), scored_batch(rows, trained, order, 10.0)
+    assert got.keys() == want.keys()
+    for d, row in got.items():
+        assert row[:3] == want[d][:3] and row[3:] == pytest.approx(want[d][3:], rel=1e-9)
+
+
+def test_memory_of_a_batch(monkeypatch):
+    """Bytes for each token at most, beside the texts: two workers of an executor hold a batch of 16 MB each."""
+    monkeypatch.setattr(L, "RUN", 1 << 12, raising=False)
+    monkeypatch.setattr(L, "TOGETHER", 1 << 15, raising=False)
+    monkeypatch.setattr(L, "PIECE_BYTES", 1 << 16)
+    rng = random.Random(6)
+    words = [f"{rng.randrange(10**6):x}" for _ in range(20_000)]
+    rows = [(k, " ".join(rng.choices(words, k=200))) for k in range(2000)]
+    n, peaks = 402_000, []
+    table = pa.table({"batch": np.zeros(len(rows), np.int64), "key": [d for d, _ in rows], "train": [d % 7 != 2 for d, _ in rows], "text": [t for _, t in rows]})
+    buckets, names = L.Buckets(32), ["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    ask, score = L._ask(3, buckets), L._score(3, buckets, n, 20_000, 200.0, names)
+    with np.errstate(over="ignore"):
+        answers = ask(table)
+        score(table, answers)  # tables of powers, kept
+        for run in (lambda: ask(table), lambda: score(table, answers)):
+            tracemalloc.start()
+            try:
+                run()
+                peaks.append(tracemalloc.get_traced_memory()[1] / n)
+            finally:
+                tracemalloc.stop()
+    assert max(peaks) < 100, peaks
