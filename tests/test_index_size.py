@@ -66,3 +66,31 @@ def test_retrieval_is_done_once_for_several_queries(spark, sf_dir, monkeypatch):
         plan = query(spark, sf_dir)._jdf.queryExecution().toString()
         assert "MapInArrow" not in plan
     assert len(done) == 1 and first.count()
+
+
+def test_masses_come_from_small_tasks_and_without_scores(spark, sf_dir, monkeypatch):
+    """Where all pairs are asked, a task ends after some of them, also with more blocks of documents than of queries; masses
+    equal those of scores(), and d3_mass rounds them as its SQL does."""
+    rng = random.Random(5)
+    rows = [(r, rng.random(), rng.random(), rng.choice([0.05, 0.2, 0.3]), rng.choice(["red", "blue", None]), rng.choice(["a", "b c", None])) for r in range(120) for _ in range(12)]
+    b = spark.createDataFrame(rows, "rid long, x double, y double, w double, color string, label string")
+    monkeypatch.setattr(I, "DOC_BLOCK", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several partitions of blocks of documents
+    try:
+        index = I.TokenIndex(b, F.col("rid") % 7 == 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    asked = I.grid_tokens(b.where("rid % 3 = 0").withColumnRenamed("rid", "qid"), "qid")
+    want = {(r.qid, r.doc): r.mass for r in index.scores(asked).collect()}
+    for queries, most in ((512, 2**24), (4, 60)):
+        monkeypatch.setattr(I, "ALL_QUERIES", queries)
+        monkeypatch.setattr(I, "ALL_ROWS", most)
+        found = index.masses(asked)
+        assert found.columns == ["qid", "doc", "mass"]
+        sizes = found.groupBy(F.spark_partition_id()).count().toDF("task", "n").collect()
+        assert {(r.qid, r.doc): r.mass for r in found.collect()} == want and len(want) == sum(r.n for r in sizes)
+        if most == 60:
+            assert len(sizes) >= 40 and max(r.n for r in sizes) < len(want) / 12, sizes
+    mass = R.d3_mass(spark, sf_dir)
+    plan = mass._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "score" not in plan and mass.count()
